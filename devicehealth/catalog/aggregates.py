@@ -48,9 +48,9 @@ def a2_report(spark, sf):
     return rollup.host_crash_report(fleet(spark, sf))
 
 
-@query("f3_extreme_hosts", sql=f"{REPORT_SQL} select * from report where avg_crashes > 480")
+@query("f3_extreme_hosts", sql=f"{REPORT_SQL} select * from report where avg_crashes > 660")
 def f3(spark, sf):
-    return rollup.extreme_hosts(rollup.host_crash_report(fleet(spark, sf)), above=480.0)
+    return rollup.extreme_hosts(rollup.host_crash_report(fleet(spark, sf)), above=660.0)
 
 
 @query("w4_top_hosts", sql=f"{REPORT_SQL} select * from report order by avg_crashes desc, host_name limit 20")

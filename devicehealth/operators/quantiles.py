@@ -17,21 +17,22 @@ SKETCH_ACCURACY = 2000
 SMALL_GROUP = 50_000
 
 
-def _bracket(name: str, prob: float, accuracy: int) -> Column:
-    """Struct of the value range sure to hold the ranks of one quantile, and how many values there are."""
+def _sketch(columns: Sequence[str], probs: Sequence[float], accuracy: int) -> Column:
+    """Struct of arrays, one slot per column and quantile: value count and the range sure to hold its ranks.
+
+    Each column is sketched once for all its quantiles.
+    """
     slack = 4.0 / accuracy
-    value = F.col(name).cast("double")
-    count = F.count(value)
-    below = F.percentile_approx(value, F.lit(max(prob - slack, 0.0)), F.lit(accuracy))
-    above = F.percentile_approx(value, F.lit(min(prob + slack, 1.0)), F.lit(accuracy))
-    small = count <= SMALL_GROUP
-    return F.struct(
-        F.lit(name).alias("metric"),
-        F.lit(float(prob)).alias("prob"),
-        count.alias("n"),
-        F.when(small, F.min(value)).otherwise(below).alias("low"),
-        F.when(small, F.max(value)).otherwise(above).alias("high"),
-    )
+    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-slack, slack)]
+    counts, lows, highs = [], [], []
+    for name in columns:
+        small = F.count(name) <= SMALL_GROUP
+        sketch = F.percentile_approx(name, edges, accuracy)
+        for i in range(len(probs)):
+            counts.append(F.count(name))
+            lows.append(F.when(small, F.min(name)).otherwise(sketch[2 * i]))
+            highs.append(F.when(small, F.max(name)).otherwise(sketch[2 * i + 1]))
+    return F.struct(F.array(*counts).alias("n"), F.array(*lows).alias("low"), F.array(*highs).alias("high"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -41,12 +42,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     NULLs are ignored; a metric without values gives no row.
     """
     by = list(by)
-    wanted = [(c, p) for c in columns for p in probs]
-    source = df.select(*by, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    columns = list(dict.fromkeys(columns))
+    wanted = [(c, float(p)) for c in columns for p in probs]
+    source = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     for key in by:
         source = source.where(F.col(key).isNotNull())
 
-    sketch = F.array(*[_bracket(c, p, accuracy) for c, p in wanted]).alias("_q")
+    sketch = _sketch(columns, probs, accuracy).alias("_q")
     if by:
         brackets = source.groupBy(*by).agg(sketch)
         located = source.join(brackets, by)
@@ -54,14 +56,15 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         brackets = source.agg(sketch)
         located = source.withColumn("_q", brackets.select("_q").scalar())
 
-    at = [F.col("_q")[i] for i in range(len(wanted))]
+    slots = range(len(wanted))
     below = located.groupBy(*by).agg(
-        F.array(*[F.count_if(F.col(c) < q["low"]) for (c, _), q in zip(wanted, at)]).alias("_below"))
-    inside = located.select(*by, F.explode(F.array_compact(F.array(*[
-        F.when((F.col(c) >= q["low"]) & (F.col(c) <= q["high"]), F.struct(F.lit(i).alias("slot"), F.col(c).alias("value")))
-        for i, ((c, _), q) in enumerate(zip(wanted, at))]))).alias("_v"))
-    counted = inside.groupBy(*by, F.col("_v.slot").alias("_slot"), F.col("_v.value").alias("_value")).agg(
-        F.count("*").alias("_count"))
+        F.array(*[F.count_if(F.col(wanted[i][0]) < F.col("_q.low")[i]) for i in slots]).alias("_below"))
+    # A plain explode stays in generated code; the range filter right after it keeps few rows.
+    values = located.select(*by, "_q", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("slot"), F.col(wanted[i][0]).alias("value")) for i in slots])).alias("_v"))
+    low, high = F.col("_q.low")[F.col("_v.slot")], F.col("_q.high")[F.col("_v.slot")]
+    counted = values.where((F.col("_v.value") >= low) & (F.col("_v.value") <= high)).groupBy(
+        *by, F.col("_v.slot").alias("_slot"), F.col("_v.value").alias("_value")).agg(F.count("*").alias("_count"))
 
     if by:
         counted = counted.join(brackets.join(below, by), by)
@@ -69,27 +72,24 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         counted = counted.withColumn("_q", brackets.select("_q").scalar()).withColumn(
             "_below", below.select("_below").scalar())
 
-    chosen = F.col("_q")[F.col("_slot")]
-    ranked = (
-        counted.select(*by, "_slot", "_value", "_count", chosen.alias("_b"),
-                       F.col("_below")[F.col("_slot")].alias("_first"))
-        .withColumn("_seen", F.col("_first") + F.sum("_count").over(
-            Window.partitionBy(*by, "_slot").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_rank", F.col("_b.prob") * (F.col("_b.n") - 1))
-    )
-    low_rank, high_rank = F.floor("_rank"), F.ceil("_rank")
+    slot = F.col("_slot")
+    running = Window.partitionBy(*by, "_slot").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.select(
+        *by, "_slot", "_value", F.col("_below")[slot].alias("_first"),
+        (F.col("_below")[slot] + F.sum("_count").over(running)).alias("_seen"),
+        (F.array(*[F.lit(p) for _, p in wanted])[slot] * (F.col("_q.n")[slot] - 1)).alias("_rank"))
     found = ranked.groupBy(*by, "_slot").agg(
-        F.first("_b.metric").alias("metric"),
-        F.first("_b.prob").alias("prob"),
-        F.first("_rank").alias("_rank"),
+        F.max("_rank").alias("_rank"),
         F.max("_first").alias("_first"),
-        F.min(F.when(F.col("_seen") > low_rank, F.col("_value"))).alias("_low"),
-        F.min(F.when(F.col("_seen") > high_rank, F.col("_value"))).alias("_high"),
+        F.min(F.when(F.col("_seen") > F.floor("_rank"), F.col("_value"))).alias("_low"),
+        F.min(F.when(F.col("_seen") > F.ceil("_rank"), F.col("_value"))).alias("_high"),
     )
     missed = F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_first") > F.floor("_rank"))
     value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_rank") - F.floor("_rank"))
     return found.select(
-        *by, "metric", "prob",
+        *by,
+        F.array(*[F.lit(c) for c, _ in wanted])[slot].alias("metric"),
+        F.array(*[F.lit(p) for _, p in wanted])[slot].alias("prob"),
         F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy")).cast("double"))
         .otherwise(value).alias("value"))
 
