@@ -70,19 +70,23 @@ def several_targets(df: DataFrame, key: str, time: str, targets: Sequence[str],
     return out.select(F.col(f"_series.{key}").alias(key), F.col("_series._name").alias("target_name"), *rest)
 
 
-def as_arrays(df: DataFrame, key: str, time: str, target: str, covariates: Sequence[str] = ()) -> DataFrame:
-    """Array form: the target in time order and a map from covariate to its array."""
+def as_arrays(df: DataFrame, key: str, time: str, target: str, covariates: Sequence[str] = (), period: str = "month") -> DataFrame:
+    """Array form: per series and calendar period, the target in time order and a map covariate -> array.
+
+    The chunks of a series in period order are its whole history; a period bounds the size of one array.
+    """
+    chunk = F.date_trunc(period, F.col(time)).cast("timestamp_ntz").alias("chunk")
     points = F.array_sort(F.collect_list(F.struct(time, target, *covariates)))
-    packed = df.groupBy(key).agg(points.alias("_p"))
+    packed = df.groupBy(key, chunk).agg(points.alias("_p"))
     arrays = [F.transform("_p", lambda p, c=c: p[c].cast("double")) for c in covariates]
-    return packed.select(
-        key, F.transform("_p", lambda p: p[target].cast("double")).alias("target"),
-        *([F.map_from_arrays(F.array(*[F.lit(c) for c in covariates]), F.array(*arrays)).alias("past_covariates")] if covariates else []))
+    covered = F.map_from_arrays(F.array(*[F.lit(c) for c in covariates]), F.array(*arrays)).alias("past_covariates")
+    return packed.select(key, "chunk", F.transform("_p", lambda p: p[time]).alias("times"),
+                         F.transform("_p", lambda p: p[target].cast("double")).alias("target"), *([covered] if covariates else []))
 
 
 def from_arrays(df: DataFrame, key: str, target: str = "target") -> DataFrame:
-    """Array form back to one row per point with its 0-based step."""
-    return df.select(key, F.posexplode(target).alias("step", target))
+    """Array form back to one row per point with its 0-based step inside the chunk."""
+    return df.select(key, "chunk", F.posexplode(target).alias("step", target))
 
 
 def score_forecast(forecast: DataFrame, truth: DataFrame, key: str, time: str, target: str, low: str = "0.1", high: str = "0.9") -> DataFrame:
