@@ -19,25 +19,20 @@ def is_past(value: Column, limit: Column, lower_is_worse: Column) -> Column:
 
 
 def detect(df: DataFrame, thresholds: Thresholds, user: str = "auth_username", device: str = "model_name",
-           lower_is_worse: set[str] = LOWER_IS_WORSE, keep: tuple[str, ...] = (),
-           metrics: list[str] | None = None) -> DataFrame:
+           lower_is_worse: set[str] = LOWER_IS_WORSE, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(username, device, features)`` of every reading with a triggered metric, one record per reading.
 
     Wide form: each metric is compared in its own column, so nothing is exploded or shuffled.
-    ``thresholds`` is a mapping, or a frame ``(metric, threshold)`` read once as a scalar subquery;
-    with a frame, ``metrics`` names the columns to look at (default: the numeric ones it may mention).
+    ``thresholds`` is a mapping, or a frame ``(metric, threshold)`` of which the few rows are fetched.
     """
-    if isinstance(thresholds, Mapping):
-        limits = {m: F.lit(float(t)) for m, t in thresholds.items()}
-    else:
-        stored = thresholds.agg(F.map_from_entries(F.collect_list(F.struct("metric", "threshold")))).scalar()
-        known = metrics or [c for c in df.columns if c not in (user, device, *keep)]
-        df = df.withColumn("_limits", stored)
-        limits = {m: F.col("_limits")[m] for m in known}
+    if not isinstance(thresholds, Mapping):
+        thresholds = {row["metric"]: row["threshold"] for row in thresholds.select("metric", "threshold").collect()}
+    limits = {m: F.lit(float(t)) for m, t in thresholds.items()}
+    types = dict(df.dtypes)
     hits = [
         F.when((value < limit) if m in lower_is_worse else (value > limit), F.struct(F.lit(m).alias("metric"), value.alias("value")))
         for m, limit in limits.items() if m in df.columns
-        for value in [to_number(F.col(m)) if dict(df.dtypes)[m] == "string" else F.col(m).cast("double")]
+        for value in [to_number(F.col(m)) if types[m] == "string" else F.col(m).cast("double")]
     ]
     found = known_user_and_device(df, user, device).select(
         F.col(user).alias("username"), F.col(device).alias("device"), *keep,

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from devicehealth.functions.numeric import total
 from devicehealth.operators.clean import long_metrics
 from devicehealth.operators.ordering import top_per_group
-from devicehealth.operators.quantiles import quantile_map, quantiles
+from devicehealth.operators.quantiles import quantile_values, quantiles
 from devicehealth.operators.rollup import medians_and_ranges
 
 GRID_POINTS = 50
@@ -20,12 +21,12 @@ def response_grid(df: DataFrame, features: Sequence[str], points: int = GRID_POI
     One frame of ``features x points`` rows, so a model scores the whole grid at once.
     """
     stats = medians_and_ranges(df, features)
-    medians = stats.agg(F.map_from_entries(F.collect_list(F.struct("metric", "median")))).scalar()
+    medians = {row["metric"]: row["median"] for row in stats.collect()}
     step = F.col("min") + (F.col("max") - F.col("min")) * F.col("i") / (points - 1)
-    swept = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("_m", medians).select(
-        F.col("metric").alias("feature"), "i", step.alias("x"), "_m")
+    swept = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
+        F.col("metric").alias("feature"), "i", step.alias("x"))
     return swept.select("feature", "i", "x", *[
-        F.when(F.col("feature") == f, F.col("x")).otherwise(F.col("_m")[f]).alias(f) for f in features])
+        F.when(F.col("feature") == f, F.col("x")).otherwise(F.lit(medians.get(f))).alias(f) for f in features])
 
 
 def gradient(curve: DataFrame, feature: str = "feature", i: str = "i", y: str = "prediction") -> DataFrame:
@@ -81,39 +82,37 @@ def contributions(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], imp
     return joined.withColumn("raw_score", F.greatest(past, F.lit(0.0)) * F.col("importance"))
 
 
-def root_causes(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], importances: DataFrame, top: int | None = None,
-                prob: float = 0.9, lower_is_worse: set[str] = frozenset(), reference: DataFrame | None = None) -> DataFrame:
+def root_causes(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], importances: DataFrame | Mapping[str, float],
+                top: int | None = None, prob: float = 0.9, lower_is_worse: set[str] = frozenset(),
+                reference: DataFrame | None = None) -> DataFrame:
     """Share of each metric in a device's risk, in percent; positive shares only, largest first.
 
-    The wide form scores a device in its own row: no regrouping of the long readings.
+    The wide form scores a device in its own row: no regrouping of the long readings. Limits and
+    importances, one number per metric, enter the plan as literals.
     """
     fleet = df if reference is None else reference
-    weights = importances.agg(F.map_from_entries(F.collect_list(F.struct("metric", "importance")))).scalar()
+    if isinstance(importances, DataFrame):
+        importances = {row["metric"]: row["importance"] for row in importances.select("metric", "importance").collect()}
     high = [m for m in metrics if m not in lower_is_worse]
     low = [m for m in metrics if m in lower_is_worse]
-    scored = df.select(*ids, *metrics).withColumn("_w", weights)
-    if high:
-        scored = scored.withColumn("_high", quantile_map(fleet, high, prob))
-    if low:
-        scored = scored.withColumn("_low", quantile_map(fleet, low, 1 - prob))
+    limits = {**(quantile_values(fleet, high, prob) if high else {}), **(quantile_values(fleet, low, 1 - prob) if low else {})}
 
     def score(m):
-        past = F.col("_low")[m] - F.col(m) if m in low else F.col(m) - F.col("_high")[m]
-        return F.greatest(F.coalesce(past, F.lit(0.0)), F.lit(0.0)) * F.col("_w")[m]
-
-    scored = scored.withColumns({f"_s_{m}": score(m) for m in metrics})
-    whole = sum((F.col(f"_s_{m}") for m in metrics), F.lit(0.0))
-    shares = F.array(*[
-        F.struct((F.col(f"_s_{m}") / F.col("_whole") * 100).alias("share"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in metrics])
-    positive = F.filter(shares, lambda s: s["share"] > 0)
-    ordered = F.array_sort(positive, lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1)
-                           .when(a["metric"] < b["metric"], -1).when(a["metric"] > b["metric"], 1).otherwise(0))
+        past = F.lit(limits.get(m)) - F.col(m) if m in low else F.col(m) - F.lit(limits.get(m))
+        return F.greatest(F.coalesce(past, F.lit(0.0)), F.lit(0.0)) * F.lit(importances.get(m, 0.0))
+
+    scored = df.select(*ids, *metrics, *[score(m).alias(f"_s_{m}") for m in metrics])
+    whole = total([F.col(f"_s_{m}") for m in metrics])
+    # Sorting on (-share, metric) puts the largest share first and breaks ties by name.
+    shares = F.array_compact(F.array(*[
+        F.when(F.col(f"_s_{m}") > 0, F.struct((-F.col(f"_s_{m}") / F.col("_whole") * 100).alias("minus"), F.lit(m).alias("metric"),
+                                              F.col(m).cast("double").alias("value"))) for m in metrics]))
+    ordered = F.array_sort(shares)
     listed = F.slice(ordered, 1, top) if top else ordered
     return (scored.withColumn("_whole", whole).where(F.col("_whole") > 0)
             .select(*ids, F.posexplode(listed).alias("_p", "_c"))
             .select(*ids, (F.col("_p") + 1).alias("rank"), F.col("_c.metric").alias("metric"), F.col("_c.value").alias("value"),
-                    F.col("_c.share").alias("confidence")))
+                    (-F.col("_c.minus")).alias("confidence")))
 
 
 def ranked_importances(spark, names: Sequence[str], values: Sequence[float]) -> DataFrame:

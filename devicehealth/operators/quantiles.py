@@ -23,15 +23,15 @@ def _sketch(columns: Sequence[str], probs: Sequence[float], accuracy: int) -> Co
     Each column is sketched once for all its quantiles.
     """
     slack = 4.0 / accuracy
-    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-slack, slack)]
+    edges = [0.0, 1.0] + [min(max(p + side, 0.0), 1.0) for p in probs for side in (-slack, slack)]
     counts, lows, highs = [], [], []
     for name in columns:
         small = F.count(name) <= SMALL_GROUP
         sketch = F.percentile_approx(name, edges, accuracy)
         for i in range(len(probs)):
             counts.append(F.count(name))
-            lows.append(F.when(small, F.min(name)).otherwise(sketch[2 * i]))
-            highs.append(F.when(small, F.max(name)).otherwise(sketch[2 * i + 1]))
+            lows.append(F.when(small, sketch[0]).otherwise(sketch[2 * i + 2]))
+            highs.append(F.when(small, sketch[1]).otherwise(sketch[2 * i + 3]))
     return F.struct(F.array(*counts).alias("n"), F.array(*lows).alias("low"), F.array(*highs).alias("high"))
 
 
@@ -39,45 +39,42 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
               accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Quantiles in long form: ``(*by, metric, prob, value)``.
 
-    NULLs are ignored; a metric without values gives no row.
+    NULLs are ignored; a metric without values gives no row. Without ``by`` the brackets, three numbers per
+    wanted quantile, are fetched first and enter the plan as literals.
     """
     by = list(by)
     columns = list(dict.fromkeys(columns))
     wanted = [(c, float(p)) for c in columns for p in probs]
+    slots = range(len(wanted))
     source = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     for key in by:
         source = source.where(F.col(key).isNotNull())
 
-    sketch = _sketch(columns, probs, accuracy).alias("_q")
+    brackets = source.groupBy(*by).agg(_sketch(columns, probs, accuracy).alias("_q"))
     if by:
-        brackets = source.groupBy(*by).agg(sketch)
         located = source.join(brackets, by)
+        lows, highs, counts = [[F.col(f"_q.{part}")[i] for i in slots] for part in ("low", "high", "n")]
     else:
-        brackets = source.agg(sketch)
-        located = source.withColumn("_q", brackets.select("_q").scalar())
+        located = source
+        fetched = brackets.first()["_q"]
+        lows, highs, counts = [[F.lit(v) for v in fetched[part]] for part in ("low", "high", "n")]
 
-    slots = range(len(wanted))
-    below = located.groupBy(*by).agg(
-        F.array(*[F.count_if(F.col(wanted[i][0]) < F.col("_q.low")[i]) for i in slots]).alias("_below"))
+    below = located.groupBy(*by).agg(F.array(*[F.count_if(F.col(wanted[i][0]) < lows[i]) for i in slots]).alias("_below"))
     # A plain explode stays in generated code; the range filter right after it keeps few rows.
-    values = located.select(*by, "_q", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("slot"), F.col(wanted[i][0]).alias("value")) for i in slots])).alias("_v"))
-    low, high = F.col("_q.low")[F.col("_v.slot")], F.col("_q.high")[F.col("_v.slot")]
-    counted = values.where((F.col("_v.value") >= low) & (F.col("_v.value") <= high)).groupBy(
-        *by, F.col("_v.slot").alias("_slot"), F.col("_v.value").alias("_value")).agg(F.count("*").alias("_count"))
-
+    kept = [F.when((F.col(c) >= lows[i]) & (F.col(c) <= highs[i]), F.col(c)) for i, (c, _) in enumerate(wanted)]
+    values = located.select(*by, F.posexplode(F.array(*kept)).alias("_slot", "_value")).where(F.col("_value").isNotNull())
+    counted = values.groupBy(*by, "_slot", "_value").agg(F.count("*").alias("_count"))
     if by:
         counted = counted.join(brackets.join(below, by), by)
     else:
-        counted = counted.withColumn("_q", brackets.select("_q").scalar()).withColumn(
-            "_below", below.select("_below").scalar())
+        counted = counted.withColumn("_below", below.select("_below").scalar())
 
     slot = F.col("_slot")
     running = Window.partitionBy(*by, "_slot").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.select(
         *by, "_slot", "_value", F.col("_below")[slot].alias("_first"),
         (F.col("_below")[slot] + F.sum("_count").over(running)).alias("_seen"),
-        (F.array(*[F.lit(p) for _, p in wanted])[slot] * (F.col("_q.n")[slot] - 1)).alias("_rank"))
+        (F.array(*[F.lit(p) for _, p in wanted])[slot] * (F.array(*counts)[slot] - 1)).alias("_rank"))
     found = ranked.groupBy(*by, "_slot").agg(
         F.max("_rank").alias("_rank"),
         F.max("_first").alias("_first"),
@@ -94,24 +91,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         .otherwise(value).alias("value"))
 
 
-def quantile_map(df: DataFrame, columns: Sequence[str], prob: float) -> Column:
-    """Scalar subquery: map from column name to its quantile over the whole frame."""
-    rows = quantiles(df, columns, [prob])
-    return rows.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).scalar()
-
-
-def quantile_value(df: DataFrame, column: str, prob: float) -> Column:
-    """Scalar subquery: one quantile of one column."""
-    return quantiles(df, [column], [prob]).agg(F.max("value")).scalar()
+def quantile_values(df: DataFrame, columns: Sequence[str], prob: float) -> dict[str, float]:
+    """One quantile of each column as driver-side limits; as literals they also reach the file scan."""
+    return {row["metric"]: row["value"] for row in quantiles(df, columns, [prob]).collect()}
 
 
-def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Quantiles as one row per group with a map ``q`` from ``metric@prob`` to value."""
-    rows = quantiles(df, columns, probs, by)
-    entry = F.struct(F.concat_ws("@", "metric", F.col("prob").cast("string")), F.col("value"))
-    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("q"))
+def quantile_value(df: DataFrame, column: str, prob: float) -> float | None:
+    """One quantile of one column; None for a column without values."""
+    return quantile_values(df, [column], prob).get(column)
 
 
 def at_or_above_quantile(df: DataFrame, column: str, prob: float) -> DataFrame:
     """Rows at or above the column's own quantile."""
-    return df.where(F.col(column) >= quantile_value(df, column, prob))
+    return df.where(F.col(column) >= F.lit(quantile_value(df, column, prob)))

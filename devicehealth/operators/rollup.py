@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from devicehealth.functions.numeric import flag, percent_difference, total
-from devicehealth.operators.quantiles import quantile_map, quantile_value, quantiles
+from devicehealth.functions.numeric import flag, interval_label, percent_difference, total
+from devicehealth.operators.quantiles import quantile_value, quantile_values, quantiles
 from devicehealth.schema import CRASHES, EXTREME_HOST_CRASHES, HOST_METRICS, OVERVIEW_METRICS, SEGMENT_PERCENTILES
 
 
@@ -143,42 +143,37 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def high_risk_summary(df: DataFrame, target: str, metrics: Sequence[str], prob: float = 0.9) -> DataFrame:
     """Threshold, size and metric means of the rows at or above the target's quantile."""
     threshold = quantile_value(df, target, prob)
-    marked = df.withColumn("_threshold", threshold)
-    return marked.where(F.col(target) >= F.col("_threshold")).agg(
-        F.max("_threshold").alias("threshold"), F.count("*").alias("size"), *[F.avg(m).alias(f"{m}_mean") for m in metrics])
+    return df.where(F.col(target) >= F.lit(threshold)).agg(
+        F.lit(threshold).alias("threshold"), F.count("*").alias("size"), *[F.avg(m).alias(f"{m}_mean") for m in metrics])
 
 
 def high_risk_label(df: DataFrame, target: str, prob: float = 0.9, name: str = "high_risk") -> DataFrame:
     """0/1 label: value at or above its own quantile."""
-    return df.withColumn(name, flag(F.col(target) >= quantile_value(df, target, prob)))
+    return df.withColumn(name, flag(F.col(target) >= F.lit(quantile_value(df, target, prob))))
 
 
 def extreme_flags(df: DataFrame, metrics: Sequence[str], prob: float = 0.9, score: str = "risk_score",
                   label: str = "high_risk", keep_flags: bool = False) -> DataFrame:
     """Count of metrics above their own quantile, and whether that count is above its own quantile."""
-    limits = quantile_map(df, metrics, prob)
-    flagged = df.withColumn("_limits", limits)
-    scored = flagged.withColumns({f"_x_{m}": flag(F.col(m) > F.col("_limits")[m]) for m in metrics})
-    scored = scored.withColumn(score, total([F.col(f"_x_{m}") for m in metrics])).drop("_limits")
-    out = scored.withColumn(label, flag(F.col(score) > quantile_value(scored, score, prob)))
+    limits = quantile_values(df, metrics, prob)
+    flags = {f"_x_{m}": flag(F.col(m) > F.lit(limits.get(m))) for m in metrics}
+    scored = df.withColumns(flags).withColumn(score, total([F.col(f) for f in flags]))
+    out = scored.withColumn(label, flag(F.col(score) > F.lit(quantile_value(scored, score, prob))))
     if keep_flags:
         return out.withColumnsRenamed({f"_x_{m}": f"extreme_{m}" for m in metrics})
     return out.drop(*[f"_x_{m}" for m in metrics])
 
 
-def segment_label(value: Column, edges: Column) -> Column:
-    """``Segment i`` of the interval ``(edge, next]`` holding the value; the lowest edge belongs to the first."""
-    below = F.size(F.filter(edges, lambda e: e < value))
-    inside = (value >= edges[0]) & (value <= F.element_at(edges, -1))
-    return F.when(inside, F.concat(F.lit("Segment "), F.greatest(below, F.lit(1)).cast("string")))
-
-
 def crash_segments(df: DataFrame, column: str = CRASHES, probs: Sequence[float] = tuple(SEGMENT_PERCENTILES),
                    name: str = "segment") -> DataFrame:
-    """Label rows by quantile segment; repeated edges collapse."""
-    edges = quantiles(df, [column], probs).agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda e: e["value"]))).scalar()
-    return df.withColumn("_edges", edges).withColumn(name, segment_label(F.col(column), F.col("_edges"))).drop("_edges")
+    """Label rows by quantile segment ``(edge, next]``; repeated edges collapse, the lowest edge belongs to the first."""
+    edges = sorted({row["value"] for row in quantiles(df, [column], probs).collect()})
+    value = F.col(column)
+    labels = [f"Segment {i + 1}" for i in range(len(edges) - 1)]
+    label = interval_label(value, edges, labels)
+    if labels:
+        label = F.when(value == edges[0], F.lit(labels[0])).otherwise(label)
+    return df.withColumn(name, label)
 
 
 def recommendation_limits(df: DataFrame, label: str, metrics=("avg_processor_time", "avg_memory_utilization", "avg_boot_time")) -> DataFrame:
