@@ -61,21 +61,23 @@ def g4(spark, sf):
                       *[F.round(F.col(f"`{q}`"), 4).alias(q) for q in ("0.1", "0.9")])
 
 
-@query("g7_array_form", sql="""
-    select user_id, date_trunc('week', ts)::timestamp as chunk, cast(count(*) as integer) as points, round(first(value order by ts), 4) as first_value,
-      round(last(value order by ts), 4) as last_value, cast(last(event_id order by ts) as double) as last_visit from events group by all""")
+CHUNKED_SQL = """placed as (select *, row_number() over (partition by user_id order by ts) as p from events),
+    chunked as (select *, cast((p - 1) // 20 as integer) as chunk, cast((p - 1) % 20 as integer) as step from placed)"""
+
+
+@query("g7_array_form", sql=f"""with {CHUNKED_SQL}
+    select user_id, chunk, cast(count(*) as integer) as points, first(value order by ts) as first_value, last(value order by ts) as last_value,
+      cast(last(event_id order by ts) as double) as last_visit from chunked group by all""")
 def g7(spark, sf):
     events = table(spark, sf, "events").withColumnRenamed("event_id", "visits")
-    packed = forecast.as_arrays(events, "user_id", "ts", "value", ["visits"], period="week")
-    return packed.select("user_id", "chunk", F.size("target").alias("points"), F.round(F.element_at("target", 1), 4).alias("first_value"),
-                         F.round(F.element_at("target", -1), 4).alias("last_value"), F.element_at(F.col("past_covariates")["visits"], -1).alias("last_visit"))
+    packed = forecast.as_arrays(events, "user_id", "ts", "value", ["visits"], points=20)
+    return packed.select("user_id", "chunk", F.size("target").alias("points"), F.element_at("target", 1).alias("first_value"),
+                         F.element_at("target", -1).alias("last_value"), F.element_at(F.col("past_covariates")["visits"], -1).alias("last_visit"))
 
 
-@query("g7_array_to_rows", sql="""
-    select user_id, date_trunc('month', ts)::timestamp as chunk, cast(row_number() over (partition by user_id, date_trunc('month', ts) order by ts) - 1 as integer) as step,
-      value as target from events""")
+@query("g7_array_to_rows", sql=f"with {CHUNKED_SQL} select user_id, chunk, step, value as target from chunked")
 def g7_rows(spark, sf):
-    return forecast.from_arrays(forecast.as_arrays(table(spark, sf, "events"), "user_id", "ts", "value"), "user_id")
+    return forecast.from_arrays(forecast.as_arrays(table(spark, sf, "events"), "user_id", "ts", "value", points=20), "user_id")
 
 
 CUT = "2024-01-24"

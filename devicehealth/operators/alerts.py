@@ -13,12 +13,12 @@ from devicehealth.schema import ALERT_METRICS
 def enrich_lines(lines: DataFrame, dimension: DataFrame, routing: DataFrame | None = None) -> DataFrame:
     """Add label, button label, type, address and display limit; an unknown metric keeps its key as label.
 
-    ``dimension`` has one row per alert metric, so it is broadcast.
+    ``dimension`` is a local frame of known size, so Spark broadcasts it by itself.
     """
     details = dimension
     if routing is not None:
         details = dimension.drop("type").join(routing, "metric", "left")
-    joined = lines.join(F.broadcast(details), "metric", "left")
+    joined = lines.join(details, "metric", "left")
     return joined.withColumns({
         "label": F.coalesce("label", "metric"),
         "button_label": F.coalesce("button_label", "label", "metric"),
@@ -177,6 +177,6 @@ def answer_messages(messages: DataFrame, articles: DataFrame, dimension: DataFra
     routed = messages.withColumn("metric", F.coalesce(matched, F.col(last_metric)))
     if "platform" not in routed.columns:
         routed = routed.withColumn("platform", F.lit("mac"))
-    found = find_articles(routed, articles).join(F.broadcast(dimension.select("metric", "label")), "metric", "left")
+    found = find_articles(routed, articles).join(dimension.select("metric", "label"), "metric", "left")
     intro = F.concat(F.lit(tx.ARTICLE_INTRO), F.coalesce("label", "metric"), F.lit("*:\n\n"), F.col("article"))
     return found.withColumn("reply", F.when(F.col("metric").isNull(), tx.GENERIC_REPLY).otherwise(intro)).drop("label")

@@ -44,9 +44,9 @@ def detect(df: DataFrame, thresholds: Thresholds, user: str = "auth_username", d
 def triggered_pairs(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Long readings ``(…, metric, value)`` joined to ``(metric, threshold, lower_is_worse)``, triggered rows only.
 
-    The limits are one row per metric, a few at most, so they are broadcast.
+    The limits are a local frame or a small file, which Spark broadcasts by its known size.
     """
-    joined = long.join(F.broadcast(thresholds), "metric")
+    joined = long.join(thresholds, "metric")
     return joined.where(is_past(F.col("value"), F.col("threshold"), F.col("lower_is_worse")))
 
 

@@ -53,7 +53,7 @@ def nth_spike(spiked: DataFrame, positions: Mapping[str, int] | DataFrame, featu
         wanted = F.create_map(*[F.lit(v) for pair in positions.items() for v in pair])[F.col(feature)]
         tagged = spiked.withColumn("_wanted", wanted)
     else:
-        tagged = spiked.join(F.broadcast(positions.withColumnRenamed("position", "_wanted")), feature)
+        tagged = spiked.join(positions.withColumnRenamed("position", "_wanted"), feature)
     reachable = tagged.where(F.col("spike") <= F.col("_wanted"))
     return reachable.groupBy(F.col(feature).alias("metric")).agg(
         F.max_by(x, "spike").alias("threshold"), F.max("spike").alias("spike_used"),
@@ -66,7 +66,7 @@ def contributions(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], imp
 
     Limits are the metric quantiles of ``reference`` (default: the frame itself); by default high values
     are risky for every metric, ``lower_is_worse`` turns the direction of the named ones.
-    Limits and importances hold one row per metric and are broadcast.
+    The joined limits hold one row per listed metric, which bounds the broadcast.
     """
     fleet = df if reference is None else reference
     high = [m for m in metrics if m not in lower_is_worse]

@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from devicehealth.functions.numeric import total
+from devicehealth.operators.ordering import ordered_position
 from devicehealth.operators.quantiles import quantiles
 
 
@@ -77,14 +78,16 @@ def several_targets(df: DataFrame, key: str, time: str, targets: Sequence[str],
     return out.select(F.col(f"_series.{key}").alias(key), F.col("_series._name").alias("target_name"), *rest)
 
 
-def as_arrays(df: DataFrame, key: str, time: str, target: str, covariates: Sequence[str] = (), period: str = "month") -> DataFrame:
-    """Array form: per series and calendar period, the target in time order and a map covariate -> array.
+def as_arrays(df: DataFrame, key: str, time: str, target: str, covariates: Sequence[str] = (), points: int = 10_000) -> DataFrame:
+    """Array form: ``(key, chunk, times, target, past_covariates)``, values in time order.
 
-    The chunks of a series in period order are its whole history; a period bounds the size of one array.
+    The chunks of a series in order are its whole history; ``points`` bounds one array, however long
+    the series.
     """
-    chunk = F.date_trunc(period, F.col(time)).cast("timestamp_ntz").alias("chunk")
-    points = F.array_sort(F.collect_list(F.struct(time, target, *covariates)))
-    packed = df.groupBy(key, chunk).agg(points.alias("_p"))
+    placed = ordered_position(df.withColumn("_at", F.col(time).cast("timestamp").cast("double")), "_at", [key], [target])
+    chunk = F.floor((F.col("position") - 1) / points).cast("int").alias("chunk")
+    gathered = F.array_sort(F.collect_list(F.struct(time, target, *covariates)))
+    packed = placed.groupBy(key, chunk).agg(gathered.alias("_p"))
 
     def array_of(column):
         return F.transform("_p", lambda p: p[column].cast("double"))

@@ -51,8 +51,7 @@ def split_stratified(df: DataFrame, label: str, *keys: str, train: float = 0.8)
     """
     hashed = df.withColumn("_h", hash_fraction(*[F.col(k) for k in keys]))
     cuts = quantiles(hashed, ["_h"], [train], by=[label]).select(F.col(label).alias("_l"), F.col("value").alias("_cut"))
-    # One row per class.
-    joined = hashed.join(F.broadcast(cuts), F.col(label) == F.col("_l"))
+    joined = hashed.join(cuts, F.col(label) == F.col("_l"))
     return joined.withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_l", "_cut")
 
 

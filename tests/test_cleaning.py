@@ -54,8 +54,9 @@ def test_detection_is_strict_and_knows_direction(spark):
 
 
 def test_alert_lines_and_message(spark):
-    records = spark.createDataFrame([("jdoe", "HP EliteBook 840", {"avg_memory_utilization": 80.5, "uptime_days": 44.0}), ("x", "Mac", {"other": 1.0})],
-                                    "username string, device string, features map<string,double>")
+    flagged = F.when(F.col("username") == "x", F.create_map(F.lit("other"), F.lit(1.0))).otherwise(
+        F.create_map(F.lit("avg_memory_utilization"), F.lit(80.5), F.lit("uptime_days"), F.lit(44.0)))
+    records = spark.createDataFrame([("jdoe", "HP EliteBook 840"), ("x", "Mac")], "username string, device string").withColumn("features", flagged)
     lines = {r["metric"]: r for r in alerts.alert_lines(records, alert_dimension(spark)).collect()}
     assert lines["other"]["label"] == "other" and lines["other"]["button_label"] == "other"
     assert lines["uptime_days"]["delta_text"] == "17" and lines["uptime_days"]["platform"] == "windows"
