@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from devicehealth.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,7 +49,7 @@ FLEET_SQL = f"fleet as (select {', '.join(_fleet_columns(FLEET))} from lineitem)
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of the stand-in fleet."""
-    return table(spark, sf_dir, "lineitem").selectExpr(*_fleet_columns(FLEET))
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*_fleet_columns(FLEET))
 
 
 USER_METRICS = ["click", "error", "purchase", "signup", "view"]

@@ -26,7 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "src").select(F.explode(F.array(F.struct("src", F.col("_m").alias("dst")),
                                                                      F.struct(F.col("dst").alias("src"), F.col("_m").alias("dst")))).alias("_e")).select("_e.*")
         after = cut_lineage(small.where("src <> dst").distinct())
-        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
+        if after.count() == links.count() and after.join(links, ["src", "dst"], "left_anti").isEmpty():
             return nodes.join(after.withColumnsRenamed({"src": "node", "dst": "_c"}), "node", "left").select(
                 "node", F.coalesce("_c", "node").alias("component"))
         links = after

@@ -17,6 +17,7 @@ from devicehealth.operators.evaluate import detection_accuracy, own_threshold, r
 from devicehealth.operators.explain import ranked_importances
 from devicehealth.operators.quantiles import quantiles
 from devicehealth.schema import BASE_FEATURES, POSITIVE_TARGETS, predictors_of
+from devicehealth.session import spread
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,8 @@ def principal_axes(scaled: DataFrame, columns: Sequence[str], k: int = 2):
 
 
 def _fit(estimator, df: DataFrame, features: Sequence[str]):
-    train = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    # Training passes over its rows once per tree level, so they are spread over the cores first.
+    train = VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(df))
     model = estimator.setFeaturesCol("features").fit(train)
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model])
 

@@ -36,6 +36,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input came in fewer pieces, as one unsplittable file does.
+
+    An input with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Settings for large inputs: plans adapt to measured sizes, skewed join partitions are split, and
 # shuffle partitions are cut to a size that fits an executor's share of memory.
 SETTINGS = {
