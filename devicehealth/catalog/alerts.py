@@ -148,8 +148,8 @@ def d2_messages(spark, sf):
 
 @query("t8_message_replies", sql="""
     with articles as (select source as metric, 'Article ' || cast(min(doc_id) as varchar) as body from documents group by source),
-    m as (select event_id, event_type, source from events join (select doc_id, source from documents) d on d.doc_id = events.event_id),
-    routed as (select event_id, case event_type when 'view' then 'avg_boot_time' when 'click' then 'battery_cycle' when 'error' then source end as metric from m)
+    routed as (select event_id, case event_type when 'view' then 'avg_boot_time' when 'click' then 'battery_cycle'
+      when 'error' then 'src' || cast(cast(floor(value / 4) as int) as varchar) end as metric from events)
     select event_id, case when routed.metric is null then null else 'Here''s what I know about *' || routed.metric || '*:' || chr(10) || chr(10) || coalesce(body,
       '*No self-help article found for this issue yet.*' || chr(10) || chr(10) || 'Please contact IT directly and mention: `' || routed.metric || '`') end as reply
     from routed left join articles using (metric)""")
@@ -157,8 +157,8 @@ def t8_replies(spark, sf):
     documents = table(spark, sf, "documents")
     articles = documents.groupBy(F.col("source").alias("metric")).agg(F.concat(F.lit("Article "), F.min("doc_id").cast("string")).alias("body")).withColumn("platform", F.lit("mac"))
     said = F.when(F.col("event_type") == "view", "Why so slow?").when(F.col("event_type") == "click", "my BATTERY dies").otherwise("help")
-    messages = table(spark, sf, "events").join(documents.select(F.col("doc_id").alias("event_id"), "source"), "event_id").select(
-        "event_id", said.alias("text"), F.when(F.col("event_type") == "error", F.col("source")).alias("last_metric"))
+    raised = F.concat(F.lit("src"), F.floor(F.col("value") / 4).cast("int").cast("string"))
+    messages = table(spark, sf, "events").select("event_id", said.alias("text"), F.when(F.col("event_type") == "error", raised).alias("last_metric"))
     answered = al.answer_messages(messages, articles, alert_dimension(spark))
     return answered.select("event_id", F.when(F.col("reply") != tx.GENERIC_REPLY, F.col("reply")).alias("reply"))
 

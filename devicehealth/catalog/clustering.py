@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from devicehealth.catalog.aggregates import rounded
 from devicehealth.catalog.registry import query
-from devicehealth.catalog.tables import SCALED_USERS_SQL, USER_METRICS, USERS_SQL, table, users
+from devicehealth.catalog.tables import SCALED_USERS_SQL, USER_METRICS, USERS_SQL, fleet, table, users
 from devicehealth.operators import cluster, evaluate, geometry
 from devicehealth.operators.models import standardise
 from devicehealth.operators.ordering import ordered_position
+from devicehealth.plans import fleet as fleet_plan
 
 FEATURES = [f"e{i}" for i in range(64)]
 GROUPED = "cast(user_id as bigint) % 4"
@@ -142,3 +143,13 @@ def c9(spark, sf):
 @query("c9_recommended_method")
 def c9_best(spark, sf):
     return evaluate.best_of(c9(spark, sf), "method", "silhouette")
+
+
+@query("c10_extreme_hosts_of_fleet")
+def c10_fleet(spark, sf):
+    return fleet_plan.extreme_hosts_of(fleet(spark, sf), starts=1)
+
+
+@query("c9_fleet_cluster_report")
+def c9_fleet(spark, sf):
+    return fleet_plan.cluster_report(fleet(spark, sf), starts=1)

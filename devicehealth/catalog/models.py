@@ -123,3 +123,8 @@ def m15(spark, sf):
 @query("m15_crash_model_report")
 def m15_report(spark, sf):
     return crash_models.crash_report(known(spark, sf), ["reading_id"], SMALL, Size(4, 4))
+
+
+@query("m7_risk_report")
+def m7_report(spark, sf):
+    return crash_models.risk_report(known(spark, sf), ["reading_id"], SMALL)

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from devicehealth.functions import text as tx
 from devicehealth.operators.clean import active_members
 from devicehealth.operators.ordering import latest_per_key
 from devicehealth.schema import ALERT_METRICS
+from devicehealth.session import small
 
 
 def enrich_lines(lines: DataFrame, dimension: DataFrame, routing: DataFrame | None = None) -> DataFrame:
     """Add label, button label, type, address and display limit; an unknown metric keeps its key as label.
 
-    ``dimension`` is a local frame of known size, so Spark broadcasts it by itself.
+    The dimension is broadcast while its row count is small: its few keys would make few, hot partitions.
     """
     details = dimension
     if routing is not None:
         details = dimension.drop("type").join(routing, "metric", "left")
-    joined = lines.join(details, "metric", "left")
+    joined = lines.join(small(details), "metric", "left")
     return joined.withColumns({
         "label": F.coalesce("label", "metric"),
         "button_label": F.coalesce("button_label", "label", "metric"),
@@ -171,12 +172,12 @@ def answer_messages(messages: DataFrame, articles: DataFrame, dimension: DataFra
                     last_metric: str = "last_metric", keywords=None) -> DataFrame:
     """Reply to each message: keyword metric, else the metric of the user's last alert, else the generic text.
 
-    ``platform`` is the device default; articles of the reference dimension are looked up by metric.
+    Without a ``platform`` column the articles of the default platform are used.
     """
     matched = tx.match_keyword(F.col(text), keywords) if keywords else tx.match_keyword(F.col(text))
     routed = messages.withColumn("metric", F.coalesce(matched, F.col(last_metric)))
     if "platform" not in routed.columns:
         routed = routed.withColumn("platform", F.lit("mac"))
-    found = find_articles(routed, articles).join(dimension.select("metric", "label"), "metric", "left")
+    found = find_articles(routed, articles).join(small(dimension.select("metric", "label")), "metric", "left")
     intro = F.concat(F.lit(tx.ARTICLE_INTRO), F.coalesce("label", "metric"), F.lit("*:\n\n"), F.col("article"))
     return found.withColumn("reply", F.when(F.col("metric").isNull(), tx.GENERIC_REPLY).otherwise(intro)).drop("label")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from devicehealth.functions.numeric import to_number
 from devicehealth.operators.clean import known_user_and_device
 from devicehealth.schema import LOWER_IS_WORSE
+from devicehealth.session import small
 
 Thresholds = Mapping[str, float] | DataFrame
 
@@ -44,9 +45,9 @@ def detect(df: DataFrame, thresholds: Thresholds, user: str = "auth_username", d
 def triggered_pairs(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Long readings ``(…, metric, value)`` joined to ``(metric, threshold, lower_is_worse)``, triggered rows only.
 
-    The limits are a local frame or a small file, which Spark broadcasts by its known size.
+    The limits are broadcast while their row count is small: their few keys would make few, hot partitions.
     """
-    joined = long.join(thresholds, "metric")
+    joined = long.join(small(thresholds), "metric")
     return joined.where(is_past(F.col("value"), F.col("threshold"), F.col("lower_is_worse")))
 
 

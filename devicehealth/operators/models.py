@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from devicehealth.functions.numeric import hash_fraction
-from devicehealth.operators.evaluate import detection_accuracy, own_threshold, regression_scores
+from devicehealth.operators.evaluate import own_threshold, regression_and_risk
 from devicehealth.operators.explain import ranked_importances
 from devicehealth.operators.quantiles import quantiles
 from devicehealth.schema import BASE_FEATURES, POSITIVE_TARGETS, predictors_of
@@ -80,10 +80,15 @@ def principal_axes(scaled: DataFrame, columns: Sequence[str], k: int = 2):
     return placed.select(*scaled.columns, *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(k)]), [float(v) for v in model.explainedVariance]
 
 
-def _fit(estimator, df: DataFrame, features: Sequence[str]):
-    # Training passes over its rows once per tree level, so they are spread over the cores first.
-    train = VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(df))
+def _fit(estimator, df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()):
+    """Fit on the assembled features; returns a pipeline that scores plain columns.
+
+    Training passes over its rows once per tree level, so they are held and spread over the cores.
+    """
+    rows = df.select(*features, estimator.getLabelCol(), *extra).persist()
+    train = VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(rows))
     model = estimator.setFeaturesCol("features").fit(train)
+    rows.unpersist()
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model])
 
 
@@ -108,7 +113,7 @@ def forest_classification(df: DataFrame, features: Sequence[str], label: str, si
     estimator = RandomForestClassifier(labelCol=label, numTrees=size.trees, maxDepth=size.depth, seed=seed)
     if balanced:
         df = balanced_weights(df, label, "_weight")
-        estimator = estimator.setWeightCol("_weight")
+        return _fit(estimator.setWeightCol("_weight"), df, features, ["_weight"])
     return _fit(estimator, df, features)
 
 
@@ -158,10 +163,7 @@ def metric_model(df: DataFrame, target: str, keys: Sequence[str], size: Size | N
     train, test = parts(split_by_hash(known, *keys))
     model = forest_regression(train, features, target, size)
     scored = model.transform(test)
-    threshold = own_threshold(known, target)
-    risk = detection_accuracy(scored, threshold, target)
-    scores = regression_scores(scored, target).join(risk).withColumn("target", F.lit(target))
-    return model, scored, scores
+    return model, scored, regression_and_risk(scored, own_threshold(known, target), target).withColumn("target", F.lit(target))
 
 
 def importance_sweep(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] = tuple(BASE_FEATURES), size: Size = METRIC_FOREST,

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from devicehealth.session import cut_lineage, small
+
 SKETCH_ACCURACY = 2000
 SMALL_GROUP = 50_000
 
@@ -52,7 +54,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
     brackets = source.groupBy(*by).agg(_sketch(columns, probs, accuracy).alias("_q"))
     if by:
-        located = source.join(brackets, by)
+        # Written once, used three times. Few groups would make few, hot join partitions: broadcast those.
+        brackets = cut_lineage(brackets)
+        hinted = small(brackets)
+        located = source.join(hinted, by)
         lows, highs, counts = [[F.col(f"_q.{part}")[i] for i in slots] for part in ("low", "high", "n")]
     else:
         located = source
@@ -65,7 +70,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     values = located.select(*by, F.posexplode(F.array(*kept)).alias("_slot", "_value")).where(F.col("_value").isNotNull())
     counted = values.groupBy(*by, "_slot", "_value").agg(F.count("*").alias("_count"))
     if by:
-        counted = counted.join(brackets.join(below, by), by)
+        sides = brackets.join(below, by)
+        counted = counted.join(sides if hinted is brackets else F.broadcast(sides), by)
     else:
         counted = counted.withColumn("_below", below.select("_below").scalar())
 
