@@ -6,6 +6,8 @@ first, so each window sees one range, and carry totals across ranges through a s
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -14,31 +16,60 @@ from pyspark.sql import DataFrame, Window, functions as F
 RANGES = 256
 
 
-def value_ranges(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: index of the value range a row falls in, in value order.
+def _cut_points(df: DataFrame, column: str, ranges: int) -> tuple[list[float], set[float]]:
+    """Range borders and the values so common that they fill ranges of their own."""
+    found = [c for c in df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges) if abs(c) != math.inf]
+    common = {c for c, times in Counter(found).items() if times > 1}
+    # A common value is fenced in, so its range holds nothing else.
+    return sorted({*found, *(math.nextafter(c, math.inf) for c in common)}), common
 
-    The cut points are a few hundred approximate quantiles held on the driver; any cut points
-    give right results, close ones only balance the work.
-    """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.approxQuantile(column, probs, 0.5 / ranges)))
+
+def _into_ranges(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
+    """Add the index of the value range a row falls in; missing values come first."""
     if not cuts:
-        return df.withColumn("_range", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol="_range", handleInvalid="keep").transform(df)
+        return df.withColumn(name, F.lit(0.0))
+    splits = [-math.inf, *cuts, math.inf]
+    placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    return placed.withColumn(name, F.coalesce(name, F.lit(-1.0)))
+
+
+def _as_number(df: DataFrame, column: str):
+    """Number that never decreases along the column's order: the value itself, or the first six bytes of a text."""
+    if dict(df.dtypes)[column] == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.substring(column, 1, 6)), 1, 12), 12, "0"), 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def value_ranges(df: DataFrame, column: str, tie: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Add ``_range`` and ``_part``, which split the order by value and tie columns into pieces.
+
+    A value that many rows share is split further along the first tie column. The cut points are a few
+    hundred approximate quantiles held on the driver; any cut points give right results, close ones
+    balance the work.
+    """
+    cuts, common = _cut_points(df, column, ranges)
+    cut = _into_ranges(df, column, cuts, "_range")
+    if not tie or not common:
+        return cut.withColumn("_part", F.lit(0.0))
+    shared = F.col(column).isin(*common)
+    numbered = cut.withColumn("_tie", _as_number(df, tie[0]))
+    borders, _ = _cut_points(numbered.where(shared), "_tie", ranges)
+    parts = _into_ranges(numbered, "_tie", borders, "_part").drop("_tie")
+    return parts.withColumn("_part", F.when(shared, F.col("_part")).otherwise(0.0))
 
 
 def prefix_sums(df: DataFrame, column: str, sums: Sequence[str], by: Sequence[str] = (),
                 tie: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """Add ``before_<c>``: sum of ``c`` over the rows of the group that sort before this one."""
     by, tie = list(by), list(tie)
-    cut = value_ranges(df, column, ranges)
-    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*by, "_range", *[
+    piece = [*by, "_range", "_part"]
+    cut = value_ranges(df, column, tie, ranges)
+    totals = cut.groupBy(*piece).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy(*by).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*piece, *[
         F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_carry_{c}") for c in sums])
-    within = Window.partitionBy(*by, "_range").orderBy(column, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(carried, [*by, "_range"])
+    within = Window.partitionBy(*piece).orderBy(column, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(carried, piece)
     return joined.select(*df.columns, *[
         (F.col(f"_carry_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in sums])
 
@@ -75,7 +106,6 @@ def as_of(left: DataFrame, right: DataFrame, by: str, time: str, payload: Sequen
     of earlier periods comes from a table with one row per key and period.
     """
     payload = list(payload)
-    empty = F.lit(None)
     value = F.struct(F.col(time).alias("_at"), F.col(tie).alias("_tie"), *payload)
     right_tagged = right.where(F.col(by).isNotNull()).select(
         F.col(by), F.col(time), F.col(tie), value.alias("_seen"), F.lit(0 if inclusive else 1).alias("_side"))

@@ -14,9 +14,10 @@ def skewed(n, seed=3):
     return v
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_quantiles_are_exact(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, large", [(0, 10**9), (10**9, 10**9), (0, 0)])
+def test_quantiles_are_exact(spark, monkeypatch, small, large):
     monkeypatch.setattr(qt, "SMALL_GROUP", small)
+    monkeypatch.setattr(qt, "LARGE_GROUP", large)
     v, w = skewed(20_000), skewed(20_000, 4)
     df = spark.createDataFrame(pd.DataFrame({"v": v, "w": w}))
     probs = [0.0, 0.1, 0.33, 0.5, 0.9, 0.999, 1.0]
@@ -26,8 +27,10 @@ def test_quantiles_are_exact(spark, monkeypatch, small):
             assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
-def test_quantiles_per_group_with_a_hot_group(spark, monkeypatch):
+@pytest.mark.parametrize("large", [0, 10**9])
+def test_quantiles_per_group_with_a_hot_group(spark, monkeypatch, large):
     monkeypatch.setattr(qt, "SMALL_GROUP", 500)
+    monkeypatch.setattr(qt, "LARGE_GROUP", large)
     v = skewed(9_000)
     g = np.where(np.arange(9_000) % 3 == 0, 0, np.arange(9_000) % 40)
     df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v}))
@@ -48,6 +51,11 @@ def test_prefix_sums_and_positions(spark):
     got = ordering.ordered_position(df, "v", ["g"], ["id"], ranges=16).toPandas().set_index("id")["position"]
     want = pdf.sort_values(["g", "v", "id"]).groupby("g").cumcount() + 1
     assert (got.sort_index() == want.sort_index()).all()
+    pdf["name"] = [f"host-{i:05d}" for i in range(3_000)]
+    named = ordering.ordered_position(spark.createDataFrame(pdf), "v", ["g"], ["name"], ranges=16).toPandas().set_index("id")["position"]
+    assert (named.sort_index() == want.sort_index()).all()
+    split = ordering.value_ranges(df, "v", ["id"], 16).where("v = 7").select("_range", "_part").distinct().collect()
+    assert len({r["_range"] for r in split}) == 1 and len(split) > 8
     same = spark.createDataFrame([(i, 1.0, 2) for i in range(10)], "id int, v double, n int")
     sums = ordering.prefix_sums(same, "v", ["n"], tie=["id"]).orderBy("id").collect()
     assert [r["before_n"] for r in sums] == [2 * i for i in range(10)]
