@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # One reading per order line: supplier = host, part = user, return flag = device model.
 FLEET = {
-    "reading_id": "concat(cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_linenumber as string))",
+    "reading_id": "concat(cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_linenumber as string), '-', cast(cast(l_quantity as int) as string))",
     "host_name": "concat('host-', cast(l_suppkey as string))",
     "auth_username": "case when l_linenumber = 7 and l_quantity < 3 then '' else concat('user', cast(l_partkey as string)) end",
     "model_name": "case when l_returnflag = 'A' then 'HP EliteBook 840' when l_returnflag = 'N' then 'MacBook Pro 14' when l_tax = 0.08 and l_quantity = 50 then null else 'ThinkPad T14' end",

@@ -8,9 +8,9 @@ from devicehealth.operators import explain, ordering
 from devicehealth.operators.clean import distinct_edges, union_all
 from devicehealth.operators.quantiles import quantiles
 
-# One curve per discount: mean price at each of the 50 quantities.
+# One curve per discount: mean price at each of the 50 quantities, summed in whole cents.
 CURVE_SQL = """curve as (select concat('d', cast(cast(round(l_discount * 100) as int) as varchar)) as feature,
-      cast(l_quantity as int) - 1 as i, l_quantity as x, round(avg(l_extendedprice), 2) as prediction from lineitem group by all),
+      cast(l_quantity as int) - 1 as i, l_quantity as x, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (count(*) * 100) as prediction from lineitem group by all),
     sloped as (select *, case when lag(prediction) over w is null then lead(prediction) over w - prediction
       when lead(prediction) over w is null then prediction - lag(prediction) over w
       else (lead(prediction) over w - lag(prediction) over w) / 2 end as gradient from curve window w as (partition by feature order by i)),
@@ -22,12 +22,12 @@ def curve(spark, sf):
     return table(spark, sf, "lineitem").groupBy(
         F.concat(F.lit("d"), F.round(F.col("l_discount") * 100).cast("int").cast("string")).alias("feature"),
         (F.col("l_quantity").cast("int") - 1).alias("i"), F.col("l_quantity").alias("x")).agg(
-        F.round(F.avg("l_extendedprice"), 2).alias("prediction"))
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / (F.count("*") * 100)).alias("prediction"))
 
 
-@query("w1_gradient", sql=f"with {CURVE_SQL} select feature, i, x, prediction, round(gradient, 4) as gradient from sloped")
+@query("w1_gradient", sql=f"with {CURVE_SQL} select feature, i, x, prediction, gradient from sloped")
 def w1(spark, sf):
-    return explain.gradient(curve(spark, sf)).withColumn("gradient", F.round("gradient", 4))
+    return explain.gradient(curve(spark, sf))
 
 
 @query("w2_spikes", sql=f"with {CURVE_SQL} select feature, i, x, cast(spike as integer) as spike from spiked")

@@ -24,6 +24,12 @@ def to_time(col: Column, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)) if fmt else text.try_cast("timestamp")
 
 
+def round_half_even(col: Column, digits: int = 2) -> Column:
+    """Half-to-even rounding of the scaled value, which is how pandas rounds a frame."""
+    scale = float(10**digits)
+    return F.rint(col * scale) / scale
+
+
 def percent_difference(high: Column, low: Column) -> Column:
     """``(high - low) / low * 100``; NULL where ``low`` is zero."""
     return (high - low) / F.nullif(low, F.lit(0.0)) * 100

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from devicehealth.functions.numeric import flag, interval_label, percent_difference, total
+from devicehealth.functions.numeric import flag, interval_label, percent_difference, round_half_even, total
 from devicehealth.operators.quantiles import quantile_value, quantile_values, quantiles
 from devicehealth.schema import CRASHES, EXTREME_HOST_CRASHES, HOST_METRICS, OVERVIEW_METRICS, SEGMENT_PERCENTILES
 
@@ -35,11 +35,11 @@ def host_crash_report(df: DataFrame, host: str = "host_name") -> DataFrame:
     means = {"avg_cpu": "avg_processor_time", "avg_memory": "avg_memory_utilization", "avg_temp": "avg_cpu_temp",
              "avg_boot": "avg_boot_time", "avg_uptime": "uptime_days"}
     return df.where(F.col(host).isNotNull()).groupBy(host).agg(
-        F.bround(F.avg(CRASHES), 2).alias("avg_crashes"),
-        F.bround(F.coalesce(F.sum(CRASHES), F.lit(0.0)), 2).alias("total_crashes"),
+        round_half_even(F.avg(CRASHES)).alias("avg_crashes"),
+        round_half_even(F.coalesce(F.sum(CRASHES), F.lit(0.0))).alias("total_crashes"),
         F.count(CRASHES).alias("record_count"),
-        F.bround(F.max(CRASHES), 2).alias("max_crashes"),
-        *[F.bround(F.avg(m), 2).alias(name) for name, m in means.items()])
+        round_half_even(F.max(CRASHES)).alias("max_crashes"),
+        *[round_half_even(F.avg(m)).alias(name) for name, m in means.items()])
 
 
 def extreme_hosts(report: DataFrame, above: float = EXTREME_HOST_CRASHES) -> DataFrame:
