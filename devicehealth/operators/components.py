@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from devicehealth.session import cut_lineage
 
-MAX_ROUNDS = 64
+
+def _mark(links: DataFrame) -> tuple:
+    """Size and hash of the edges, in one aggregate: equal marks mean that a round changed nothing."""
+    return tuple(links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(src, dst))"), F.expr("bit_xor(xxhash64(dst, src, 7))")).first())
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,7 +19,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds. A round is two aggregates, which combine before the shuffle, and its result is checkpointed.
     """
     links = cut_lineage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    for _ in range(MAX_ROUNDS):
+    mark = _mark(links)
+    while mark[0]:
         # Large star: every neighbour above a node is pointed at the smallest node around it.
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         lowest = both.groupBy("src").agg(F.min("dst").alias("_m")).select("src", F.least("src", "_m").alias("_m"))
@@ -25,9 +29,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("src").agg(F.min("dst").alias("_m"))
         small = large.join(smallest, "src").select(F.explode(F.array(F.struct("src", F.col("_m").alias("dst")),
                                                                      F.struct(F.col("dst").alias("src"), F.col("_m").alias("dst")))).alias("_e")).select("_e.*")
-        after = cut_lineage(small.where("src <> dst").distinct())
-        if after.count() == links.count() and after.join(links, ["src", "dst"], "left_anti").isEmpty():
-            return nodes.join(after.withColumnsRenamed({"src": "node", "dst": "_c"}), "node", "left").select(
-                "node", F.coalesce("_c", "node").alias("component"))
-        links = after
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        links = cut_lineage(small.where("src <> dst").distinct())
+        before, mark = mark, _mark(links)
+        if mark == before:
+            break
+    return nodes.join(links.withColumnsRenamed({"src": "node", "dst": "_c"}), "node", "left").select(
+        "node", F.coalesce("_c", "node").alias("component"))
