@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from devicehealth.llm import arrays
 from devicehealth.operators.components import components
-from devicehealth.session import cut_lineage
+from devicehealth.session import cut_lineage, small
 
 WORDS = 5
 #: Bands and bins in a band. A pair of similarity 0.8 misses all bands with a chance below 7e-6, one of 0.85 below 3e-8.
 BANDS, ROWS = 30, 5
+#: Most candidate ids sent to all tasks that read the texts a second time (a few MB); beyond it the texts are joined.
+WANTED = 200_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,9 +143,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Documents are linked when 100 * common shingles >= ``percent`` * all shingles of the two; the component is named by
     its smallest id, whose row is kept. Candidates share a bucket of a band; every link is confirmed on the full sets.
-    Documents of equal sets are one class, compared once. In a bucket, some members (four at first, then four times as
-    many each round, until all have been) are compared with the members of other components; so a bucket of
-    near copies, which soon is one component, costs a few rows per member and no bucket emits all its pairs.
+    Documents of equal sets are one class, compared once.
+
+    No bucket emits all its pairs. First the member that meets most others in all buckets is compared with the rest of
+    its buckets; in a group of near copies that is the copied text, so the bucket becomes one component. While a bucket
+    holds several components, more members (four, then four times as many each round, until all have been) are compared
+    with those of other components. A pair is left out only if it cannot be a link: shingles that no other candidate has
+    are never shared, which bounds the similarity of the pair from above.
+
     Null ids: one row each, no component, kept. Null, empty or blank texts: no shingles, linked with nothing. A
     repeated id is one document, that of its largest set. Ties: the smallest id. No rows: no rows. Other columns are not read.
     Set equality and sizes rest on 64-bit shingle hashes (two of them for a whole set).
@@ -152,39 +159,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nameless = found.where("id is null").select("id", "n", F.lit(None).cast(found.schema["id"].dataType).alias("component"))
     one = found.where("id is not null").groupBy("id").agg(F.max(F.struct("n", "set_a", "set_b")).alias("s")).select("id", "s.*")
     classes = found.where("id is not null and n > 0").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    members = cut_lineage(classes.select("rep", "n", F.explode("bands").alias("bucket")))
-
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1")
-    members = cut_lineage(members.join(crowded, "bucket").withColumn(
-        "u", F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))).select("bucket", "rep", "n", "m", "u"))
-    wanted = members.select(F.col("rep").alias("id"), "n").distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted.select("id"), "id", "left_semi")
-    sets = set_table(texts, width).join(wanted, "id").where("size(shingles) = n").groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+    placed = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut_lineage(placed.join(crowded, "bucket"))
+    wanted = cut_lineage(members.groupBy("rep", "n").agg(F.sum(F.col("m") - 1).alias("met")))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(wanted.select(F.col("rep").alias("id")), WANTED), "id", "left_semi")
+    sets = set_table(texts, width).join(wanted.select(F.col("rep").alias("id"), "n"), "id").where("size(shingles) = n").groupBy("id").agg(
+        F.first("shingles").alias("shingles"))
     sets = cut_lineage(sets)
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
+    most_shared = wanted.join(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone")), "rep", "left").select(
+        "rep", "met", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    members = cut_lineage(members.join(most_shared, "rep").withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
+
+    def possible(n, common, n2, common2):
+        top = F.least(common, common2)
+        return F.lit(100) * top >= F.lit(percent) * (n + n2 - top)
 
-    nodes = classes.select(F.col("rep").alias("node"))
     links = None
-    labels = members.select(F.col("rep").alias("node")).distinct().withColumn("component", F.col("node"))
-    active, low, most = members, 0, members.agg(F.max("m")).first()[0] or 0
-    high = 4
+    labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    active, low, high, most = members, 0, 1, members.agg(F.max("m")).first()[0] or 0
     while low < most:
-        # Members whose bucket still holds more than one component; those with u in [low / m, high / m) are compared now.
         known = active.join(labels.withColumnRenamed("node", "rep"), "rep")
-        split = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-        active = cut_lineage(known.join(split, "bucket"))
-        centres = active.where(F.col("u") * F.col("m") >= low).where((F.col("u") * F.col("m") < high)).select(
-            "bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-        pairs = active.join(centres, "bucket").where("component <> cc").where(
-            F.lit(100) * F.least("n", "cn") >= F.lit(percent) * F.greatest("n", "cn")).select(
+        bounds = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"),
+                                             F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("first")).where("c0 <> c1")
+        # A member stays if its bucket still holds another component and a partner as small as any there could be a link.
+        active = cut_lineage(known.join(bounds, "bucket").where(
+            possible(F.col("n"), F.col("common"), F.greatest(F.col("least"), F.col("common")), F.col("common"))).select(*known.columns, "first"))
+        chosen = F.col("rep") == F.col("first") if not low else (F.col("u") * F.col("m") >= (low if low > 1 else 0)) & (F.col("u") * F.col("m") < high)
+        centres = active.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("common").alias("cs"), F.col("component").alias("cc"))
+        pairs = active.join(centres, "bucket").where("component <> cc").where(possible(F.col("n"), F.col("common"), F.col("cn"), F.col("cs"))).select(
             F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
         new = cut_lineage(_verified(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
-        labels = cut_lineage(components(labels.select("node"), links.withColumnsRenamed({"a": "src", "b": "dst"})))
-        active = active.drop("component")
+        if not new.isEmpty():
+            labels = cut_lineage(components(labels.select("node"), links.withColumnsRenamed({"a": "src", "b": "dst"})))
+        active = active.drop("component", "first")
         if active.isEmpty():
             break
         low, high = high, high * 4
-    label = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    label = classes.select(F.col("rep").alias("node")).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     of_class = classes.select("n", "set_a", "set_b", F.col("rep").alias("node")).join(label, "node").drop("node")
     named = one.join(of_class, ["n", "set_a", "set_b"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     return named.unionByName(nameless).select(
