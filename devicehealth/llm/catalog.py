@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from devicehealth.llm import q_near_text, q_quality  # noqa: F401
+from devicehealth.llm import q_bpe, q_near_text, q_packing, q_quality, q_secrets, q_token_counts  # noqa: F401
 from devicehealth.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
