@@ -128,13 +128,12 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` with their ``shared`` shingles by the full sets, and whether they reach the similarity."""
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(
         sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - common
-    return both.withColumn("ok", F.lit(100) * common >= F.lit(percent) * union).where("ok").select("a", "b")
+    sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("all"))
+    return sized.select("a", "b", "shared", (F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("all") - F.col("shared"))).alias("ok"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, width: int = WORDS,
@@ -149,7 +148,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     its buckets; in a group of near copies that is the copied text, so the bucket becomes one component. While a bucket
     holds several components, more members (four, then four times as many each round, until all have been) are compared
     with those of other components. A pair is left out only if it cannot be a link: shingles that no other candidate has
-    are never shared, which bounds the similarity of the pair from above.
+    are never shared, which bounds the similarity of the pair from above, by itself and through the member compared first.
 
     Null ids: one row each, no component, kept. Null, empty or blank texts: no shingles, linked with nothing. A
     repeated id is one document, that of its largest set. Ties: the smallest id. No rows: no rows. Other columns are not read.
@@ -168,41 +167,67 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = set_table(texts, width).join(wanted.select(F.col("rep").alias("id"), "n"), "id").where("size(shingles) = n").groupBy("id").agg(
         F.first("shingles").alias("shingles"))
     sets = cut_lineage(sets)
-    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
-    most_shared = wanted.join(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone")), "rep", "left").select(
-        "rep", "met", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    members = cut_lineage(members.join(most_shared, "rep").withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
+
+    def common_shingles(sets: DataFrame) -> DataFrame:
+        """``(rep, common)``: how many shingles of a set occur in another set too."""
+        alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+        return sets.join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "id", "left").select(
+            F.col("id").alias("rep"), (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+    members = cut_lineage(members.join(common_shingles(sets), "rep").join(wanted.select("rep", "met"), "rep").withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
 
     def possible(n, common, n2, common2):
         top = F.least(common, common2)
         return F.lit(100) * top >= F.lit(percent) * (n + n2 - top)
 
-    links = None
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """Members whose bucket holds several components and a member as small as makes a link possible, with the best-connected one."""
+        known = rows.join(labels.withColumnRenamed("node", "rep"), "rep")
+        bounds = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"),
+                                             F.max_by(F.struct("rep", "n", "common"), F.struct("met", F.xxhash64("rep"))).alias("first")).where("c0 <> c1")
+        return cut_lineage(known.join(bounds, "bucket").where(
+            possible(F.col("n"), F.col("common"), F.greatest(F.col("least"), F.col("common")), F.col("common"))).drop("c0", "c1", "least"))
+
+    def named(found: DataFrame) -> DataFrame:
+        return cut_lineage(components(wanted.select(F.col("rep").alias("node")), found.withColumnsRenamed({"a": "src", "b": "dst"})))
+
+    pair = [F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")]
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    active, low, high, most = members, 0, 1, members.agg(F.max("m")).first()[0] or 0
+    active = unsettled(members).withColumn("c", F.col("first.rep")).where("rep <> c")
+    tried = active.where(possible(F.col("n"), F.col("common"), F.col("first.n"), F.col("first.common"))).select(*pair).distinct()
+    checked = cut_lineage(_compared(tried, sets, percent))
+    links = checked.where("ok").select("a", "b")
+    labels = named(links)
+    # What a member shares with any other lies in the first one if all its shingles but those that it alone has do (``inner``), and it is no smaller.
+    # Then who is not linked with the first one is not linked with it either; and if it is linked itself, it is done.
+    seen = active.withColumns({"a": pair[0], "b": pair[1]}).join(checked, ["a", "b"], "left").select(
+        "bucket", "rep", "n", "common", "met", "u", F.coalesce("ok", F.lit(False)).alias("linked"),
+        F.coalesce((F.col("shared") == F.col("common")) & (F.col("n") >= F.col("first.n")), F.lit(False)).alias("inner")).where("not (linked and inner)")
+    sizes = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    active = cut_lineage(seen.join(sizes, "bucket"))
+    left = sets.join(active.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    active = cut_lineage(active.drop("common").join(common_shingles(left), "rep"))
+    low, high, most = 0, 4, active.agg(F.max("m")).first()[0] or 0
     while low < most:
-        known = active.join(labels.withColumnRenamed("node", "rep"), "rep")
-        bounds = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"),
-                                             F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("first")).where("c0 <> c1")
-        # A member stays if its bucket still holds another component and a partner as small as any there could be a link.
-        active = cut_lineage(known.join(bounds, "bucket").where(
-            possible(F.col("n"), F.col("common"), F.greatest(F.col("least"), F.col("common")), F.col("common"))).select(*known.columns, "first"))
-        chosen = F.col("rep") == F.col("first") if not low else (F.col("u") * F.col("m") >= (low if low > 1 else 0)) & (F.col("u") * F.col("m") < high)
-        centres = active.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("common").alias("cs"), F.col("component").alias("cc"))
-        pairs = active.join(centres, "bucket").where("component <> cc").where(possible(F.col("n"), F.col("common"), F.col("cn"), F.col("cs"))).select(
-            F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        new = cut_lineage(_verified(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
+        known = unsettled(active)
+        chosen = (F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)
+        centres = known.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("common").alias("cs"), F.col("component").alias("cc"),
+                                             F.col("linked").alias("cl"), F.col("inner").alias("ci"))
+        excluded = (F.col("inner") & ~F.col("cl")) | (F.col("ci") & ~F.col("linked"))
+        pairs = known.where(F.col("u") * F.col("m") >= low).join(centres, "bucket").where("component <> cc").where(~excluded).where(
+            possible(F.col("n"), F.col("common"), F.col("cn"), F.col("cs"))).select(*pair).distinct()
+        new = cut_lineage(_compared(pairs, sets, percent).where("ok").select("a", "b"))
         if not new.isEmpty():
-            labels = cut_lineage(components(labels.select("node"), links.withColumnsRenamed({"a": "src", "b": "dst"})))
-        active = active.drop("component", "first")
+            links = links.unionByName(new)
+            labels = named(links)
+        active = known.drop("component", "first").where(F.col("u") * F.col("m") >= high)
         if active.isEmpty():
             break
         low, high = high, high * 4
     label = classes.select(F.col("rep").alias("node")).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     of_class = classes.select("n", "set_a", "set_b", F.col("rep").alias("node")).join(label, "node").drop("node")
-    named = one.join(of_class, ["n", "set_a", "set_b"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return named.unionByName(nameless).select(
+    result = one.join(of_class, ["n", "set_a", "set_b"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return result.unionByName(nameless).select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
