@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from devicehealth.llm import q_bpe, q_near_text, q_packing, q_quality, q_secrets, q_token_counts  # noqa: F401
+from devicehealth.llm import (q_bpe, q_chat, q_langid, q_near_text, q_near_vectors, q_packing, q_quality, q_secrets, q_token_counts,  # noqa: F401
+                              q_toxicity)  # noqa: F401
 from devicehealth.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -59,13 +59,15 @@ CHARACTERS = _Characters()
 
 @dataclass
 class Pieces:
-    """Pieces of some texts: spans of ``units`` (code points), a key for each, the first piece of each text."""
+    """Pieces of some texts: spans of ``units`` (code points), a key for each, the first piece of each text, and
+    where each text begins."""
 
     units: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     keys: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     def word(self, i: int) -> str:
         return self.units[self.starts[i]:self.ends[i]].astype("<u4").tobytes().decode("utf-32-le")
@@ -140,7 +142,7 @@ class Splitter:
         n = len(units)
         none = np.zeros(0, np.int64)
         if not n:
-            return Pieces(units, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+            return Pieces(units, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), offsets)
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         for a, b, _ in spans:
@@ -179,4 +181,4 @@ class Splitter:
         keys = arrays.spans_hash(units, starts, ends)
         for a, _, number in spans:
             keys[np.searchsorted(starts, a)] = special_key(number)
-        return Pieces(units, starts, ends, keys, np.searchsorted(starts, offsets))
+        return Pieces(units, starts, ends, keys, np.searchsorted(starts, offsets), offsets)

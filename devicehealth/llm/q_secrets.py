@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from devicehealth.llm.registry import query, table
-from devicehealth.llm.secrets import as_text, scanned
+from devicehealth.llm.secrets import as_text, redacted, scanned
 
 
 @query("op7_secret_scans")
@@ -14,3 +14,10 @@ def op7_secret_scans(spark, sf_dir):
     counts = [F.size(f"__dh_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("__dh_base")), 256).alias("base_sha256"),
                         as_text(F.concat("__dh_base", "__dh_added")).alias("spans"))
+
+
+def masked_documents(docs):
+    """Documents with their secrets masked and ``n_chars`` counted anew where the text has changed."""
+    clean = redacted(docs.withColumn("__dh_before", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("__dh_before"))
+    return clean.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
