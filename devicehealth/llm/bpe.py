@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from devicehealth.llm import arrays, automaton
 from devicehealth.llm.merges import Store, file_text, vocabulary
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Most words of a lexicon; the rest is merged exactly, so this bounds its size, not the result.
 LEXICON_WORDS = 50_000
 
@@ -27,7 +27,7 @@ def word_counts(docs: DataFrame, text: str, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = vocabulary(shared.value).splitter()
         for batch in batches:
-            for _, _, data, offsets in arrays.chunks(batch.column(0), CHUNK_BYTES * 4):
+            for _, _, data, offsets in arrays.chunks(batch.column(0), CHUNK_BYTES * 2):
                 found = splitter.split(data, offsets)
                 _, at, n = np.unique(found.keys, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([found.word(i) for i in at.tolist()], pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
@@ -54,7 +54,7 @@ class _Words(Store):
     def __init__(self, text: str, lexicon: automaton.Lexicon):
         self.vocab, self.lexicon = vocabulary(text), lexicon
         self.strings: list[str] = []
-        super().__init__(self._encode, self.vocab.special)
+        super().__init__(self._encode, self.vocab.special, limit=150_000)
 
     def _clear(self) -> None:
         super()._clear()
