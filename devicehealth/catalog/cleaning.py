@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from devicehealth.catalog.registry import query
 from devicehealth.catalog.tables import FLEET_SQL, fleet, table
-from devicehealth.functions.numeric import percent_difference, to_number, to_time
+from devicehealth.functions.numeric import percent_difference, round_half_even, to_number, to_time
 from devicehealth.operators.clean import coerce_numeric, complete_cases, long_metrics, strip_zone
 from devicehealth.operators.rollup import host_overview
 
@@ -67,8 +67,8 @@ def p6(spark, sf):
 @query("p7_round_half_even", sql=f"""
     select {IDS}, round_even(l_quantity / 2, 0) as half, round_even(l_quantity / 8, 2) as eighth from lineitem""")
 def p7(spark, sf):
-    return table(spark, sf, "lineitem").select(*IDS.split(", "), F.bround(F.col("l_quantity") / 2, 0).alias("half"),
-                                               F.bround(F.col("l_quantity") / 8, 2).alias("eighth"))
+    return table(spark, sf, "lineitem").select(*IDS.split(", "), round_half_even(F.col("l_quantity") / 2, 0).alias("half"),
+                                               round_half_even(F.col("l_quantity") / 8, 2).alias("eighth"))
 
 
 @query("p8_percent_difference", sql=f"""

@@ -50,7 +50,7 @@ def c7(spark, sf):
 
 
 @query("w8_ordered_silhouettes", sql=f"""with {SILHOUETTE_SQL}, r as (select vec_id, label, round(silhouette, 8) as silhouette from s)
-    select vec_id, label, silhouette, cast(row_number() over (partition by label order by silhouette, vec_id) as integer) as position from r""")
+    select vec_id, label, silhouette, cast(row_number() over (partition by label order by silhouette, vec_id) as bigint) as position from r""")
 def w8_silhouettes(spark, sf):
     return ordered_position(c7(spark, sf), "silhouette", ["label"], ["vec_id"])
 
@@ -82,7 +82,7 @@ NEAR = " + ".join(f"(a.{m} - b.{m}) ** 2" for m in DBSCAN_METRICS)
     comp as (select i, min(j) as c from reach group by i),
     numbered as (select c, row_number() over (order by c) - 1 as n from (select distinct c from comp)),
     border as (select pairs.i, min(c) as c from pairs join comp on pairs.j = comp.i where pairs.i not in (select i from core) group by pairs.i)
-    select p.user_id, cast(coalesce(n, -1) as integer) as cluster, p.user_id in (select i from core) as is_core from p
+    select p.user_id, cast(coalesce(n, -1) as bigint) as cluster, p.user_id in (select i from core) as is_core from p
       left join (select * from comp union all select * from border) x on p.user_id = x.i left join numbered using (c)""")
 def c3(spark, sf):
     return geometry.dbscan(known_users(spark, sf), "user_id", DBSCAN_METRICS, eps=8.0, min_rows=8)
@@ -99,28 +99,28 @@ def c10(spark, sf):
 
 @query("c1_kmeans")
 def c1(spark, sf):
-    return cluster.kmeans(scaled_users(spark, sf), USER_METRICS, 4, starts=3)[0]
+    return cluster.kmeans(scaled_users(spark, sf), USER_METRICS, 4)[0]
 
 
 @query("c1_kmeans_profile")
 def c1_profile(spark, sf):
-    labelled, _ = cluster.kmeans(scaled_users(spark, sf), USER_METRICS, 5, starts=3)
+    labelled, _ = cluster.kmeans(scaled_users(spark, sf), USER_METRICS, 5)
     return labelled.groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(m).alias(f"{m}_mean") for m in USER_METRICS])
 
 
 @query("c2_sweep_k")
 def c2(spark, sf):
-    return cluster.sweep_k(scaled_users(spark, sf), "user_id", USER_METRICS, range(2, 6), starts=1, squared=True)
+    return cluster.sweep_k(scaled_users(spark, sf), "user_id", USER_METRICS, range(2, 11))
 
 
 @query("c2_best_k")
 def c2_best(spark, sf):
-    return cluster.best_k(cluster.sweep_k(scaled_users(spark, sf), "user_id", USER_METRICS, range(2, 4), starts=1))
+    return cluster.best_k(cluster.sweep_k(scaled_users(spark, sf), "user_id", USER_METRICS, range(2, 16)))
 
 
-@query("c4_ward")
+@query("c4_divisive")
 def c4(spark, sf):
-    return cluster.ward(scaled_users(spark, sf), "user_id", USER_METRICS, 4)
+    return cluster.divisive(scaled_users(spark, sf), USER_METRICS, 4)
 
 
 @query("c5_gaussian_mixture")
@@ -133,11 +133,11 @@ def c5(spark, sf):
 def c9(spark, sf):
     scaled = scaled_users(spark, sf).persist()
     methods = {
-        "K-Means (k=4)": cluster.kmeans(scaled, USER_METRICS, 4, starts=1)[0],
-        "Hierarchical": cluster.ward(scaled, "user_id", USER_METRICS, 4),
+        "K-Means (k=4)": cluster.kmeans(scaled, USER_METRICS, 4)[0],
+        "Divisive": cluster.divisive(scaled, USER_METRICS, 4),
         "GMM": cluster.gaussian_mixture(scaled, USER_METRICS, 4)[0],
     }
-    return cluster.compare_methods("user_id", USER_METRICS, methods)
+    return cluster.compare_methods(USER_METRICS, methods)
 
 
 @query("c9_recommended_method")
@@ -147,9 +147,9 @@ def c9_best(spark, sf):
 
 @query("c10_extreme_hosts_of_fleet")
 def c10_fleet(spark, sf):
-    return fleet_plan.extreme_hosts_of(fleet(spark, sf), starts=1)
+    return fleet_plan.extreme_hosts_of(fleet(spark, sf))
 
 
 @query("c9_fleet_cluster_report")
 def c9_fleet(spark, sf):
-    return fleet_plan.cluster_report(fleet(spark, sf), starts=1)
+    return fleet_plan.cluster_report(fleet(spark, sf))

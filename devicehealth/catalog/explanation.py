@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from devicehealth.catalog.aggregates import rounded
 from devicehealth.catalog.registry import query
-from devicehealth.catalog.tables import FLEET_SQL, fleet
+from devicehealth.catalog.tables import FLEET_SQL, fleet, table
 from devicehealth.operators import explain, models
 from devicehealth.operators.models import Size
 from devicehealth.plans import thresholds
@@ -24,12 +24,35 @@ def x1(spark, sf):
 
 @query("x1_response_curves")
 def x1_curves(spark, sf):
-    return thresholds.response_curves(fleet(spark, sf), ["reading_id"], size=Size(10, 5))
+    return thresholds.response_curves(fleet(spark, sf), ["reading_id"])
 
 
 @query("x2_learn_thresholds")
 def x2(spark, sf):
-    return thresholds.learn_thresholds(fleet(spark, sf), ["reading_id"], size=Size(10, 5))
+    return thresholds.learn_thresholds(fleet(spark, sf), ["reading_id"])
+
+
+# A curve over the tables, a flat one beside it, and a feature that has none.
+POSITIONS = {"quantity": 2, "flat": 0, "absent": 1}
+
+
+@query("x2_complete_thresholds", sql="""
+    with curve as (select 'quantity' as feature, cast(l_quantity as integer) as i, cast(l_quantity as double) as x, cast(avg(l_extendedprice * (1 + l_quantity * l_quantity % 7)) as double) as prediction
+      from lineitem group by l_quantity union all select distinct 'flat', cast(l_quantity as integer), cast(l_quantity as double), 1.0 from lineitem),
+    g as (select *, lag(prediction) over w as p, lead(prediction) over w as n from curve window w as (partition by feature order by i)),
+    s as (select feature, i, x, case when p is null then n - prediction when n is null then prediction - p else (n - p) / 2 end as slope from g),
+    k as (select feature, x, row_number() over (partition by feature order by i) - 1 as spike from s join (select feature, quantile_cont(slope, 0.9) as q from s group by feature) using (feature) where slope > q),
+    wanted(metric, pos) as (values ('quantity', 2), ('flat', 0), ('absent', 1))
+    select metric, max_by(x, spike) as threshold, cast(max(spike) as integer) as spike_used, coalesce(max(spike) = max(pos), false) as complete
+    from wanted left join k on feature = metric and spike <= pos group by metric""")
+def x2_complete(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    quantity = F.col("l_quantity").cast("int")
+    price = F.col("l_extendedprice") * (1 + F.col("l_quantity") * F.col("l_quantity") % 7)
+    curve = lines.groupBy(quantity.alias("i")).agg(F.avg(price).cast("double").alias("prediction")).withColumn("feature", F.lit("quantity"))
+    flat = curve.withColumns({"feature": F.lit("flat"), "prediction": F.lit(1.0)})
+    both = curve.unionByName(flat).withColumn("x", F.col("i").cast("double"))
+    return thresholds.thresholds_of(both, POSITIONS)
 
 
 @query("x2_training_rows", sql=f"""

@@ -36,10 +36,10 @@ def f6(spark, sf):
 
 
 @query("f7_last_points", sql="""
-    select user_id, ts, value from (select user_id, ts, value, row_number() over (partition by user_id order by ts desc) as p from events)
+    select user_id, ts, value from (select user_id, ts, value, row_number() over (partition by user_id order by ts desc, value) as p from events)
     where p <= 24""")
 def f7(spark, sf):
-    return clean.last_points(table(spark, sf, "events").select("user_id", "ts", "value"), "user_id", "ts", 24)
+    return clean.last_points(table(spark, sf, "events").select("user_id", "ts", "value"), "user_id", "ts", 24, tie=["value"])
 
 
 @query("f8_low_confidence", sql="""

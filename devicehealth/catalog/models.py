@@ -1,4 +1,4 @@
-"""Models on the stand-in fleet, with small presets; rows only, except the splits."""
+"""Models on the stand-in fleet, at full size but for the loops over many targets (m12, m13, m15); rows only, except the splits."""
 
 from pyspark.sql import functions as F
 
@@ -42,14 +42,14 @@ def m4(spark, sf):
 @query("m5_forest_regression")
 def m5(spark, sf):
     train, test = models.parts(models.split_by_hash(known(spark, sf).where(F.col(CRASHES) > 0), "reading_id"))
-    model = models.forest_regression(train, BASE_FEATURES, CRASHES, SMALL)
+    model = models.forest_regression(train, BASE_FEATURES, CRASHES)
     return model.transform(test).select("reading_id", CRASHES, "prediction")
 
 
 @query("m6_boosted_regression")
 def m6(spark, sf):
     train, test = models.parts(models.split_by_hash(known(spark, sf).where(F.col(CRASHES) > 0), "reading_id"))
-    model = models.boosted_regression(train, BASE_FEATURES, CRASHES, Size(5, 4))
+    model = models.boosted_regression(train, BASE_FEATURES, CRASHES)
     return model.transform(test).select("reading_id", CRASHES, "prediction")
 
 
@@ -60,14 +60,14 @@ def labelled(spark, sf):
 @query("m7_forest_classification")
 def m7(spark, sf):
     train, test = models.parts(models.split_stratified(labelled(spark, sf), "high_risk", "reading_id"))
-    model = models.forest_classification(train, BASE_FEATURES, "high_risk", SMALL)
+    model = models.forest_classification(train, BASE_FEATURES, "high_risk", models.RISK_FOREST)
     return models.with_confidence(model.transform(test)).select("reading_id", "high_risk", "prediction", "confidence")
 
 
 @query("m8_boosted_classification")
 def m8(spark, sf):
     train, test = models.parts(models.split_stratified(labelled(spark, sf), "high_risk", "reading_id"))
-    model = models.boosted_classification(train, BASE_FEATURES, "high_risk", Size(4, 4))
+    model = models.boosted_classification(train, BASE_FEATURES, "high_risk", models.RISK_BOOSTING)
     return models.with_confidence(model.transform(test)).select("reading_id", "high_risk", "prediction", "confidence")
 
 
@@ -78,7 +78,7 @@ def diagnosed(spark, sf):
 @query("m9_diagnosis_model")
 def m9(spark, sf):
     train, test = models.parts(models.split_stratified(diagnosed(spark, sf), "issue", "reading_id"))
-    model, classes = models.diagnosis_model(train, DIAGNOSIS_FEATURES, "issue", SMALL)
+    model, classes = models.diagnosis_model(train, DIAGNOSIS_FEATURES, "issue", models.DIAGNOSIS_FOREST)
     names = F.array(*[F.lit(c) for c in classes])
     scored = model.transform(test).withColumn("predicted_issue", names[F.col("prediction").cast("int")])
     return evaluate.classification_report(scored, "issue", "predicted_issue")
@@ -87,13 +87,13 @@ def m9(spark, sf):
 @query("m10_likeliest_classes")
 def m10(spark, sf):
     rows = diagnosed(spark, sf)
-    model, classes = models.diagnosis_model(rows, DIAGNOSIS_FEATURES, "issue", SMALL)
+    model, classes = models.diagnosis_model(rows, DIAGNOSIS_FEATURES, "issue", models.DIAGNOSIS_FOREST)
     return models.class_probabilities(model.transform(rows), ["reading_id"], classes, 3)
 
 
 @query("m11_importances")
 def m11(spark, sf):
-    model = models.forest_regression(known(spark, sf), BASE_FEATURES, CRASHES, SMALL)
+    model = models.forest_regression(known(spark, sf), BASE_FEATURES, CRASHES)
     return models.importances(model, BASE_FEATURES, spark)
 
 
@@ -110,7 +110,7 @@ def m13(spark, sf):
 @query("m14_score_new_devices")
 def m14(spark, sf):
     train, fresh = models.parts(models.split_by_hash(labelled(spark, sf), "reading_id"))
-    model = models.forest_classification(train, BASE_FEATURES, "high_risk", SMALL)
+    model = models.forest_classification(train, BASE_FEATURES, "high_risk", models.RISK_FOREST)
     scored = models.with_confidence(model.transform(fresh))
     return scored.select("reading_id", risk_status(F.col("prediction")).alias("status"), "confidence")
 
@@ -127,4 +127,4 @@ def m15_report(spark, sf):
 
 @query("m7_risk_report")
 def m7_report(spark, sf):
-    return crash_models.risk_report(known(spark, sf), ["reading_id"], SMALL)
+    return crash_models.risk_report(known(spark, sf), ["reading_id"])

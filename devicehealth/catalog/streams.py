@@ -1,6 +1,6 @@
 """Streams run to the end of the given tables; each result equals its batch twin."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from devicehealth.catalog.aggregates import OPT_LOG
 from devicehealth.catalog.alerts import HITS_SQL, ORDER
@@ -13,16 +13,15 @@ from devicehealth.streaming import alerts as sa
 from devicehealth.streaming.recent import messages_with_latest_alert
 
 ARRIVING = ["reading_id", "auth_username", "model_name", *[m[0] for m in ALERT_METRICS]]
-ARRIVING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ARRIVING])
 
 
 def uploads(spark, sf):
-    """The fleet as headered gzip files, one folder per return status."""
+    """The fleet as headered gzip files, one folder per return status, each with its columns in another order."""
     path = scratch_path(spark, "uploads")
     early = F.coalesce(F.col("uptime_days") < 20, F.lit(False))
     rows = fleet(spark, sf).select(*ARRIVING)
-    for name, part in (("a", rows.where(early)), ("b", rows.where(~early))):
-        part.write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
+    for name, part, order in (("a", rows.where(early), ARRIVING), ("b", rows.where(~early), ARRIVING[::-1])):
+        part.select(*order).write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
     return path
 
 
@@ -37,8 +36,8 @@ R1_SQL = f"""with {FLEET_SQL}, {HITS_SQL}
 @query("r1_alert_stream", sql=R1_SQL)
 def r1(spark, sf):
     out = scratch_path(spark, "alerts")
-    stream = sa.arriving_files(spark, uploads(spark, sf), ARRIVING_SCHEMA, files_per_batch=1)
-    sa.alert_stream(stream, out, scratch_path(spark, "checkpoint"), keep=("reading_id",)).awaitTermination()
+    stream = sa.arriving_files(spark, uploads(spark, sf), files_per_batch=4)
+    sa.alert_stream(stream, out, scratch_path(spark, "checkpoint"), ARRIVING, keep=("reading_id",)).awaitTermination()
     return listed(spark.read.parquet(out))
 
 
@@ -46,8 +45,8 @@ def r1(spark, sf):
 def r2(spark, sf):
     out, limits = scratch_path(spark, "alerts"), scratch_path(spark, "thresholds")
     write_thresholds(spark.createDataFrame(list(DISPLAY_THRESHOLDS.items()), "metric string, threshold double"), limits)
-    stream = sa.arriving_files(spark, uploads(spark, sf), ARRIVING_SCHEMA)
-    sa.alert_stream(stream, out, scratch_path(spark, "checkpoint"), thresholds=limits, keep=("reading_id",)).awaitTermination()
+    stream = sa.arriving_files(spark, uploads(spark, sf))
+    sa.alert_stream(stream, out, scratch_path(spark, "checkpoint"), ARRIVING, thresholds=limits, keep=("reading_id",)).awaitTermination()
     ordered = F.array(*[F.lit(m[0]) for m in ALERT_METRICS])
     return spark.read.parquet(out).select("reading_id", "username", "device", F.array_join(
         F.filter(ordered, lambda m: F.array_contains(F.map_keys("features"), m)), ",").alias("features"))
@@ -63,11 +62,12 @@ def r3(spark, sf):
     events = table(spark, sf, "events").select(
         "event_id", "user_id", "ts", F.when(alert, "alert").otherwise("message").alias("kind"),
         F.when(alert, F.when(F.col("value") > 50, "uptime_days").otherwise("p90_cpu_temp")).alias("metric"))
-    # Three files in time order, one per micro-batch.
-    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2030-01-01"]
-    for start, end in zip(cuts, cuts[1:]):
-        inside = (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-        events.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    # One file per micro-batch, the alerts first; within both kinds the later days come before the earlier ones.
+    cuts = ["2030-01-01", "2024-01-21", "2024-01-11", "2024-01-01"]
+    for kind in ("alert", "message"):
+        for end, start in zip(cuts, cuts[1:]):
+            inside = (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+            events.where(inside & (F.col("kind") == kind)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     answered = messages_with_latest_alert(stream)
     answered.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(

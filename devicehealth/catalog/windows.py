@@ -66,7 +66,7 @@ def w7(spark, sf):
 
 
 @query("w8_ordered_position", sql="""
-    select event_type, event_id, value, cast(row_number() over (partition by event_type order by value, event_id) as integer) as position from events""")
+    select event_type, event_id, value, cast(row_number() over (partition by event_type order by value, event_id) as bigint) as position from events""")
 def w8(spark, sf):
     rows = table(spark, sf, "events").select("event_type", "event_id", "value")
     return ordering.ordered_position(rows, "value", ["event_type"], ["event_id"])

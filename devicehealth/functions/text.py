@@ -131,22 +131,25 @@ def decode_key(key: Column) -> Column:
 LINE_END = r"\R|[\u001c-\u001e]"
 
 
+# A lone star is a sign of italics only while bold text still has two; so italics come first.
+INLINE = [(r"(?<!\*)\*(?!\*)([^*]+)(?<!\*)\*(?!\*)", "_$1_"), (r"(\*\*|__)(.+?)\1", "*$2*"), (r"(?U)^(\s*)-\s+", "$1• ")]
+
+
 def chat_markup(text: Column) -> Column:
-    """Markdown article to chat markup, line by line over the whole text.
+    """Markdown article to chat markup.
 
-    Headings and bold become ``*x*``, italics ``_x_``, dashes bullets; rules become empty lines.
+    Headings of up to three signs and bold text become ``*x*``, italics ``_x_``, dashes of a list bullets; a rule
+    becomes an empty line. The text of a heading is left as it is. Blank ends are cut off.
     """
-    def rewrite(line: Column) -> Column:
-        inline = F.regexp_replace(line, r"(?U)^(\s*)-\s+", "$1• ")
-        inline = F.regexp_replace(inline, r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "_$1_")
-        inline = F.regexp_replace(inline, r"\*\*(.+?)\*\*", "*$1*")
-        inline = F.regexp_replace(inline, r"__(.+?)__", "*$1*")
-        heading = F.regexp_extract(line, r"(?U)^#{1,3}\s+(.*)", 1)
-        return (
-            F.when(line.rlike(r"(?U)^#{1,3}\s+"), F.concat(F.lit("*"), F.trim(heading), F.lit("*")))
-            .when(line.rlike(r"(?U)^\s*-{3,}\s*$"), F.lit(""))
-            .otherwise(inline)
-        )
-
-    joined = F.array_join(F.transform(F.split(text, LINE_END), rewrite), "\n")
-    return F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
+    def line(one: Column) -> Column:
+        marks = F.char_length(F.regexp_extract(one, r"(?U)^(#*)\s", 1))
+        plain = F.regexp_replace(one, r"(?U)\s", "")
+        inline = one
+        for pattern, instead in INLINE:
+            inline = F.regexp_replace(inline, pattern, instead)
+        return (F.when(marks.between(1, 3), F.concat(F.lit("*"), F.trim(F.regexp_replace(one, r"(?U)^#+\s+", "")), F.lit("*")))
+                .when((F.char_length(plain) > 2) & one.rlike(r"(?U)^\s*-+\s*$"), F.lit(""))
+                .otherwise(inline))
+
+    lines = F.transform(F.split(text, LINE_END), line)
+    return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")

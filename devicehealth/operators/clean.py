@@ -44,9 +44,9 @@ def series_with_rows(df: DataFrame, key: str, at_least: int) -> DataFrame:
     return df.join(long_enough, key, "left_semi")
 
 
-def last_points(df: DataFrame, key: str, time: str, n: int) -> DataFrame:
-    """The newest ``n`` points of each series; trimmed per partition before the shuffle."""
-    newest = Window.partitionBy(key).orderBy(F.col(time).desc())
+def last_points(df: DataFrame, key: str, time: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
+    """The newest ``n`` points of each series; trimmed per partition before the shuffle. ``tie`` orders points of one time."""
+    newest = Window.partitionBy(key).orderBy(F.col(time).desc(), *tie)
     return df.withColumn("_p", F.row_number().over(newest)).where(F.col("_p") <= n).drop("_p")
 
 

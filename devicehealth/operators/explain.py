@@ -48,16 +48,17 @@ def spikes(curve: DataFrame, feature: str = "feature", i: str = "i", prob: float
 
 
 def nth_spike(spiked: DataFrame, positions: Mapping[str, int] | DataFrame, feature: str = "feature", x: str = "x") -> DataFrame:
-    """``(metric, threshold, spike_used, complete)``: the wanted spike, or the last one where ties left fewer."""
-    if isinstance(positions, Mapping):
-        wanted = F.create_map(*[F.lit(v) for pair in positions.items() for v in pair])[F.col(feature)]
-        tagged = spiked.withColumn("_wanted", wanted)
-    else:
-        tagged = spiked.join(positions.withColumnRenamed("position", "_wanted"), feature)
-    reachable = tagged.where(F.col("spike") <= F.col("_wanted"))
-    return reachable.groupBy(F.col(feature).alias("metric")).agg(
-        F.max_by(x, "spike").alias("threshold"), F.max("spike").alias("spike_used"),
-        (F.max("spike") == F.max("_wanted")).alias("complete"))
+    """``(metric, threshold, spike_used, complete)``: the wanted spike, or the last one where ties left fewer.
+
+    Every wanted feature has a row: one whose curve is flat has no spike, a NULL threshold and is not complete.
+    """
+    wanted = (spiked.sparkSession.createDataFrame(list(positions.items()), "metric string, _wanted int") if isinstance(positions, Mapping)
+              else positions.select(F.col(feature).alias("metric"), F.col("position").alias("_wanted")))
+    known = spiked.select(F.col(feature).alias("metric"), F.col(x).alias("_x"), "spike")
+    reachable = F.col("spike") <= F.col("_wanted")
+    return wanted.join(known, "metric", "left").groupBy("metric").agg(
+        F.max_by("_x", F.when(reachable, F.col("spike"))).alias("threshold"), F.max(F.when(reachable, F.col("spike"))).alias("spike_used"),
+        F.coalesce(F.max(F.when(reachable, F.col("spike"))) == F.max("_wanted"), F.lit(False)).alias("complete"))
 
 
 def contributions(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], importances: DataFrame,

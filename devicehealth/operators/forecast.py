@@ -184,7 +184,7 @@ def lag_frame(df: DataFrame, key: str, time: str, target: str, lags: Sequence[in
 def fit_pooled(lagged: DataFrame, target: str, features: Sequence[str], ridge: float = 0.1) -> PipelineModel:
     """One regression over the lags of all series: every series learns from the others."""
     train = lagged.na.drop(subset=[target, *features])
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"),
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep"),
                             LinearRegression(featuresCol="_features", labelCol=target, predictionCol="predictions", regParam=ridge,
                                              elasticNetParam=0.0)]).fit(train)
 

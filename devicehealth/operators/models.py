@@ -17,7 +17,7 @@ from devicehealth.operators.evaluate import own_threshold, regression_and_risk
 from devicehealth.operators.explain import ranked_importances
 from devicehealth.operators.quantiles import quantiles
 from devicehealth.schema import BASE_FEATURES, POSITIVE_TARGETS, predictors_of
-from devicehealth.session import spread
+from devicehealth.session import small, spread
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,8 @@ EXTREME_FOREST = Size(400, 14)
 METRIC_FOREST = Size(200, 12)
 PROCESSOR_FOREST = Size(80, 6)
 SEED = 42
+#: Memory of a task for the statistics of the nodes it splits at a time.
+STATISTICS_MB = 768
 
 
 def split_by_hash(df: DataFrame, *keys: str, train: float = 0.8) -> DataFrame:
@@ -52,7 +54,7 @@ def split_stratified(df: DataFrame, label: str, *keys: str, train: float = 0.8)
     """
     hashed = df.withColumn("_h", hash_fraction(*[F.col(k) for k in keys]))
     cuts = quantiles(hashed, ["_h"], [train], by=[label]).select(F.col(label).alias("_l"), F.col("value").alias("_cut"))
-    joined = hashed.join(cuts, F.col(label) == F.col("_l"))
+    joined = hashed.join(small(cuts), F.col(label) == F.col("_l"))
     return joined.withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_l", "_cut")
 
 
@@ -69,7 +71,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=name, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(columns), outputCol=name, handleInvalid="error").transform(df)
 
 
 def principal_axes(scaled: DataFrame, columns: Sequence[str], k: int = 2):
@@ -83,10 +85,13 @@ def principal_axes(scaled: DataFrame, columns: Sequence[str], k: int = 2):
 def _fit(estimator, df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()):
     """Fit on the assembled features; returns a pipeline that scores plain columns.
 
-    Training passes over its rows once per tree level, so they are held and spread over the cores.
+    Training passes over its rows once per group of nodes, so they are held and spread over the cores; memory for
+    node statistics lets a group hold a whole level of many trees, and rows remember the nodes they have reached.
     """
     rows = df.select(*features, estimator.getLabelCol(), *extra).persist()
     train = VectorAssembler(inputCols=list(features), outputCol="features").transform(spread(rows))
+    if estimator.hasParam("maxMemoryInMB"):
+        estimator = estimator.setMaxMemoryInMB(STATISTICS_MB).setCacheNodeIds(True)
     model = estimator.setFeaturesCol("features").fit(train)
     rows.unpersist()
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model])

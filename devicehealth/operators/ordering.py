@@ -78,7 +78,7 @@ def ordered_position(df: DataFrame, column: str, by: Sequence[str] = (), tie: Se
                      ranges: int = RANGES) -> DataFrame:
     """Add ``position``: 1-based rank of a row in its group by value and tie columns."""
     counted = prefix_sums(df.withColumn("_one", F.lit(1)), column, ["_one"], by, tie, ranges)
-    return counted.withColumn("position", (F.col("before__one") + 1).cast("int")).drop("_one", "before__one")
+    return counted.withColumn("position", (F.col("before__one") + 1).cast("bigint")).drop("_one", "before__one")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, rank: str = "rank") -> DataFrame:

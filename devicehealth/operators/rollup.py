@@ -152,13 +152,24 @@ def high_risk_label(df: DataFrame, target: str, prob: float = 0.9, name: str = "
     return df.withColumn(name, flag(F.col(target) >= F.lit(quantile_value(df, target, prob))))
 
 
+def _quantile_of_counts(counts: Sequence[tuple[float, int]], prob: float) -> float:
+    """Linear quantile of values given with their frequencies, in order."""
+    at = prob * (sum(n for _, n in counts) - 1)
+    ends = [sum(n for _, n in counts[:i + 1]) for i in range(len(counts))]
+    low, high = (next(v for (v, _), end in zip(counts, ends) if place < end) for place in (int(at), min(int(at) + 1, ends[-1] - 1)))
+    return low + (high - low) * (at - int(at))
+
+
 def extreme_flags(df: DataFrame, metrics: Sequence[str], prob: float = 0.9, score: str = "risk_score",
                   label: str = "high_risk", keep_flags: bool = False) -> DataFrame:
     """Count of metrics above their own quantile, and whether that count is above its own quantile."""
     limits = quantile_values(df, metrics, prob)
     flags = {f"_x_{m}": flag(F.col(m) > F.lit(limits.get(m))) for m in metrics}
     scored = df.withColumns(flags).withColumn(score, total([F.col(f) for f in flags]))
-    out = scored.withColumn(label, flag(F.col(score) > F.lit(quantile_value(scored, score, prob))))
+    # The count lies between 0 and the number of metrics, so a table of its frequencies gives its exact quantile in one pass.
+    counts = sorted((r["v"], r["n"]) for r in scored.groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n")).collect())
+    cut = _quantile_of_counts(counts, prob) if counts else None
+    out = scored.withColumn(label, flag(F.col(score) > F.lit(cut)))
     if keep_flags:
         return out.withColumnsRenamed({f"_x_{m}": f"extreme_{m}" for m in metrics})
     return out.drop(*[f"_x_{m}" for m in metrics])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -50,6 +52,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once for each application, so that tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_devicehealth_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="devicehealth-"), "devicehealth.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("devicehealth", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._devicehealth_shipped = True
+
+
 # Settings for large inputs: plans adapt to measured sizes, skewed join partitions are split, and
 # shuffle partitions are cut to a size that fits an executor's share of memory.
 SETTINGS = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from devicehealth.functions.numeric import to_number, to_time
 from devicehealth.schema import NUMERIC_METRICS, TELEMETRY_SCHEMA
+from devicehealth.sources.headers import by_header, read_lines
 
 
 def read_telemetry(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -26,9 +27,13 @@ def read_prefix(spark: SparkSession, prefix: str, sep: str = "|") -> DataFrame:
             .option("pathGlobFilter", "*.{gz,csv}").csv(prefix))
 
 
-def read_headered(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Comma file with a header row; its columns decide which metrics exist."""
-    return spark.read.option("header", True).option("sep", sep).option("enforceSchema", False).csv(path)
+def read_headered(spark: SparkSession, path: str | Sequence[str], sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+    """Files with a header row each, read by name: files may differ in the order and choice of columns.
+
+    A metric that a file lacks is NULL in its rows. Lines that do not fit their header are left to ``headers.by_header``,
+    which returns them.
+    """
+    return by_header(read_lines(spark, path), columns, sep)[0]
 
 
 def typed_telemetry(raw: DataFrame, numeric: Sequence[str] = tuple(NUMERIC_METRICS)) -> DataFrame:

@@ -6,22 +6,23 @@ twice still counts once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from devicehealth.operators.alerts import opt_out_state
 from devicehealth.plans.alerting import problem_records
+from devicehealth.sources.headers import PLACED, by_header
 from devicehealth.sources.side_tables import read_thresholds
 
 
-def arriving_files(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Headered comma files below a folder, each read once; gzip by suffix."""
-    reader = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,csv}")
+def arriving_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """``(file, start, line)`` of comma files below a folder, each read once; gzip by suffix."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,csv}")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder)
+    return reader.format("text").load(folder).selectExpr(*PLACED)
 
 
 def _per_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -29,16 +30,22 @@ def _per_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def alert_stream(stream: DataFrame, out: str, checkpoint: str, thresholds: str | None = None, keep: tuple[str, ...] = (),
-                 once: bool = True) -> StreamingQuery:
-    """Problem records of each arriving file.
+def alert_stream(stream: DataFrame, out: str, checkpoint: str, columns: Sequence[str], thresholds: str | None = None, keep: tuple[str, ...] = (),
+                 once: bool = True, rejects: str | None = None) -> StreamingQuery:
+    """Problem records of each arriving file, whose ``columns`` are found by its own header; an absent metric raises nothing.
 
     ``thresholds`` is the path of a stored limit map, read again for every batch, so new limits take
-    effect without a restart; without it the shipped limits apply. Detection is stateless and unshuffled.
+    effect without a restart; without it the shipped limits apply. Lines that do not fit their header go to
+    ``rejects``, or stop the stream if it is not named.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         limits = read_thresholds(batch.sparkSession, thresholds) if thresholds else None
-        problem_records(batch, limits, keep).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        readings, unfit = by_header(batch, columns)
+        if rejects:
+            unfit.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        elif not unfit.isEmpty():
+            raise ValueError(f"lines of batch {batch_id} do not fit their header; name a folder for rejects")
+        problem_records(readings, limits, keep).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _per_batch(stream, write, checkpoint, once)
 

@@ -1,43 +1,60 @@
-"""The latest alert of each user as state next to the message stream."""
+"""The alerts of each user as state next to the message stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "event_id bigint, user_id bigint, ts timestamp, metric string, alert_ts timestamp"
-STATE = "metric string, alert_ts timestamp"
 
+def messages_with_latest_alert(events: DataFrame, keep_ms: int | None = None, event: str = "event_id", user: str = "user_id", ts: str = "ts",
+                               kind: str = "kind", value: str = "metric", alert_ts: str = "alert_ts") -> DataFrame:
+    """For each message of a stream ``(event, user, ts, kind, value)``, the user's latest alert at or before its own time.
 
-def messages_with_latest_alert(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """For each message of a stream ``(user_id, ts, event_id, kind, metric)``, the user's latest alert so far.
+    ``kind`` is ``alert`` or ``message``. Times decide, not the order of arrival: a late message is answered with the alert
+    that was in force at its time, and an alert of the same instant counts. A message is answered in the batch it comes
+    in, from the alerts that have come by then. Of several alerts at one instant the one with the largest event counts.
 
-    ``kind`` is ``alert`` or ``message``. State holds one alert per user and outlives restarts;
-    ``keep_ms`` drops users that stay silent that long. A batch holds one trigger's files, so a busy
-    user's rows of one batch are bounded by ``maxFilesPerTrigger``.
+    State holds the user's alerts and outlives restarts. ``keep_ms`` bounds it: alerts that were replaced longer than that
+    before the newest one are dropped, and users that stay silent that long are forgotten; messages later than that find no alert.
+    A task holds one user's rows of one batch, which ``maxFilesPerTrigger`` of the source bounds.
     """
+    typed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    fields = {f.name: f for f in typed.schema}
+    output = T.StructType([fields[event], fields[user], fields[ts], fields[value], T.StructField(alert_ts, T.TimestampType())])
+    state_type = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("event", T.ArrayType(fields[event].dataType)),
+                               T.StructField("value", T.ArrayType(fields[value].dataType))])
+
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-        metric, at = state.get if state.exists else (None, None)
-        is_alert = rows["kind"] == "alert"
-        seen_metric = rows["metric"].where(is_alert).ffill()
-        seen_at = rows["ts"].where(is_alert).ffill()
-        if at is not None:
-            unknown = seen_at.isna()
-            seen_metric = seen_metric.mask(unknown, metric)
-            seen_at = seen_at.mask(unknown, pd.Timestamp(at).tz_localize(None) if pd.Timestamp(at).tzinfo else pd.Timestamp(at))
-        if not seen_at.isna().iloc[-1]:
-            state.update((seen_metric.iloc[-1], seen_at.iloc[-1].to_pydatetime()))
-        if keep_ms and state.exists:
-            state.setTimeoutDuration(keep_ms)
-        out = rows.assign(user_id=key[0], metric=seen_metric, alert_ts=seen_at)[~is_alert]
-        yield out[["event_id", "user_id", "ts", "metric", "alert_ts"]]
+        known = pd.DataFrame(dict(zip(["at", "event", "value"], state.get))) if state.exists else pd.DataFrame({"at": [], "event": [], "value": []})
+        waiting = []
+        for rows in batches:
+            rows = rows.assign(_micros=rows[ts].astype("datetime64[us]").astype("int64"))
+            alert = rows[kind] == "alert"
+            new = rows.loc[alert, ["_micros", event, value]].set_axis(["at", "event", "value"], axis=1)
+            if len(new):
+                known = new if not len(known) else pd.concat([known, new])
+            waiting.append(rows.loc[~alert, [event, user, ts, "_micros"]])
+        known = known.sort_values(["at", "event"], kind="stable").drop_duplicates("at", keep="last").reset_index(drop=True)
+        if keep_ms and len(known):
+            # The last alert before the kept span stays: it was in force when the span began.
+            known = known.iloc[max(0, int(known["at"].searchsorted(known["at"].iloc[-1] - keep_ms * 1000, side="right")) - 1):]
+        if len(known):
+            state.update((known["at"].astype("int64").tolist(), known["event"].tolist(), known["value"].tolist()))
+            if keep_ms:
+                state.setTimeoutDuration(keep_ms)
+        asked = pd.concat(waiting) if waiting else pd.DataFrame({event: []})
+        if not len(asked):
+            return
+        at = known["at"].to_numpy("int64").searchsorted(asked["_micros"].to_numpy("int64"), side="right") - 1
+        values = [known["value"].iloc[i] if i >= 0 else None for i in at]
+        since = [pd.Timestamp(int(known["at"].iloc[i]), unit="us") if i >= 0 else pd.NaT for i in at]
+        yield pd.DataFrame({event: asked[event].to_numpy(), user: asked[user].to_numpy(), ts: asked[ts].to_numpy(), value: values, alert_ts: pd.Series(since, dtype="datetime64[us]")})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").applyInPandasWithState(follow, OUTPUT, STATE, "append", timeout)
+    return typed.groupBy(user).applyInPandasWithState(follow, output, state_type, "append", timeout)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from devicehealth.functions import labels, numeric, text as tx
@@ -103,3 +104,30 @@ def test_presets():
     assert {t: len(predictors_of(t)) for t in MODEL_TARGETS} == {
         "total_app_crash": 11, "uptime_days": 11, "avg_battery_health": 12, "avg_boot_time": 12, "avg_cpu_temp": 12, "avg_memory_utilization": 11,
         "avg_processor_time": 12, "cpu_count": 12, "max_cpu_usage": 11, "max_memory_usage": 12, "memory_size_gb": 12, "p90_processor_time": 12}
+
+
+def test_opt_outs_in_indented_and_one_line_files(spark, tmp_path):
+    from devicehealth.sources.side_tables import read_opt_outs
+
+    (tmp_path / "a.json").write_text('{\n  "ann": "on leave",\n  "bob": {\n    "uptime_days": true,\n    "max_cpu_usage": false\n  }\n}\n')
+    (tmp_path / "b.json").write_text('{"cy": "x"}\n{"dee": {"uptime_days": true}}\n')
+    got = {tuple(r) for r in read_opt_outs(spark, str(tmp_path)).collect()}
+    assert got == {("ann", None, "on leave"), ("bob", "uptime_days", None), ("cy", None, "x"), ("dee", "uptime_days", None)}
+    (tmp_path / "c.json").write_text('{"eve": ')
+    with pytest.raises(Exception, match="no opt-out object"):
+        read_opt_outs(spark, str(tmp_path)).collect()
+
+
+def test_flat_curve_keeps_its_metric(spark, tmp_path):
+    from devicehealth.plans.thresholds import thresholds_of
+    from devicehealth.sources.side_tables import read_thresholds, write_thresholds
+
+    curve = spark.createDataFrame([("flat", i, float(i), 1.0) for i in range(20)] + [("uptime_days", i, float(i), float(i > 9)) for i in range(20)],
+                                  "feature string, i int, x double, prediction double")
+    got = {r["metric"]: (r["threshold"], r["complete"]) for r in thresholds_of(curve, {"flat": 0, "uptime_days": 0, "max_cpu_usage": 1}).collect()}
+    assert got == {"flat": (None, False), "uptime_days": (9.0, True), "max_cpu_usage": (None, False)}
+    rows = thresholds_of(curve, {"uptime_days": 0, "max_cpu_usage": 1})
+    write_thresholds(rows, str(tmp_path / "limits"))
+    assert {r["metric"]: r["threshold"] for r in read_thresholds(spark, str(tmp_path / "limits")).collect()}["max_cpu_usage"] == 90.2
+    with pytest.raises(Exception, match="no threshold for flat"):
+        write_thresholds(thresholds_of(curve, {"flat": 0}), str(tmp_path / "none"))

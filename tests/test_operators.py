@@ -147,14 +147,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1300)) and got[5000] == 5000
 
 
-def test_ward_separates_blobs(spark):
+def test_division_separates_blobs(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(c, 0.1, (20, 2)) for c in (0, 5, 10, 15)])
     pdf = pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(80), truth=np.repeat(range(4), 20))
     df = spark.createDataFrame(pdf)
-    for micro in (500, 12):
-        got = cluster.ward(df, "id", ["a", "b"], 4, micro=micro).toPandas()
-        assert got.groupby("truth")["cluster"].nunique().eq(1).all() and got["cluster"].nunique() == 4
+    got = cluster.divisive(df, ["a", "b"], 4).toPandas()
+    assert got.groupby("truth")["cluster"].nunique().eq(1).all() and got["cluster"].nunique() == 4
+    gap = df.withColumn("a", F.when(F.col("id") != 3, F.col("a")))
+    with pytest.raises(Exception, match="null"):
+        cluster.divisive(gap, ["a", "b"], 4).count()
 
 
 def test_spikes_with_ties(spark):

@@ -19,11 +19,11 @@ def test_restart_reads_only_new_files_under_new_limits(spark, tmp_path):
     folder, out, check, limits = [str(tmp_path / n) for n in ("in", "out", "check", "limits")]
     put_limits(spark, limits, 27.0)
     put_file(spark, folder, [("a", "HP", "30"), ("b", "HP", "20"), ("", "HP", "99"), ("c", "HP", "bad")])
-    sa.alert_stream(sa.arriving_files(spark, folder, SCHEMA), out, check, thresholds=limits).awaitTermination()
+    sa.alert_stream(sa.arriving_files(spark, folder), out, check, SCHEMA.names, thresholds=limits).awaitTermination()
     assert [r["username"] for r in spark.read.parquet(out).collect()] == ["a"]
     put_limits(spark, limits, 10.0)
     put_file(spark, folder, [("d", "HP", "11")])
-    sa.alert_stream(sa.arriving_files(spark, folder, SCHEMA), out, check, thresholds=limits).awaitTermination()
+    sa.alert_stream(sa.arriving_files(spark, folder), out, check, SCHEMA.names, thresholds=limits).awaitTermination()
     # 'b' came under the old limits and is not looked at again.
     assert sorted(r["username"] for r in spark.read.parquet(out).collect()) == ["a", "d"]
     assert read_thresholds(spark, limits).first().asDict() == {"metric": "uptime_days", "threshold": 10.0}
@@ -46,3 +46,39 @@ def test_latest_alert_survives_a_restart(spark, tmp_path):
     second = run([(4, 1, "2024-01-02 00:00:00", "message", None), (5, 1, "2024-01-02 01:00:00", "alert", "m2"), (6, 1, "2024-01-02 02:00:00", "message", None),
                   (7, 2, "2024-01-02 00:00:00", "message", None)])
     assert second == {1: None, 3: "m1", 4: "m1", 6: "m2", 7: None}
+
+
+def put_text(folder, name, text):
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w") as f:
+        f.write(text)
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    folder, out, check, bad = [str(tmp_path / n) for n in ("in", "out", "check", "bad")]
+    columns = ["auth_username", "model_name", "uptime_days", "max_cpu_usage"]
+    put_text(folder, "a.csv", "max_cpu_usage,uptime_days,auth_username,model_name\n10,99,a,HP\n")
+    put_text(folder, "b.csv", "auth_username,model_name,max_cpu_usage\nb,\"HP, 14\",95\nshort,HP\n")
+    sa.alert_stream(sa.arriving_files(spark, folder), out, check, columns, rejects=bad).awaitTermination()
+    assert {r["username"]: (r["device"], r["features"]) for r in spark.read.parquet(out).collect()} == {
+        "a": ("HP", {"uptime_days": 99.0}), "b": ("HP, 14", {"max_cpu_usage": 95.0})}
+    assert [r["line"] for r in spark.read.parquet(bad).collect()] == ["short,HP"]
+
+
+def test_late_and_tied_messages_get_the_alert_of_their_time(spark, tmp_path):
+    folder, out, check = [str(tmp_path / n) for n in ("in", "out", "check")]
+
+    def run(rows):
+        spark.createDataFrame(rows, "id bigint, who bigint, at string, kind string, what string").withColumn(
+            "at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("id bigint, who bigint, at timestamp, kind string, what string").parquet(folder)
+        messages_with_latest_alert(stream, event="id", user="who", ts="at", value="what", alert_ts="since").writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return {r["id"]: (r["what"], r["since"] and r["since"].day) for r in spark.read.parquet(out).collect()}
+
+    run([(1, 1, "2024-01-05", "alert", "late"), (2, 1, "2024-01-02", "alert", "early")])
+    got = run([(3, 1, "2024-01-03", "message", None), (4, 1, "2024-01-05", "message", None), (5, 1, "2024-01-01", "message", None), (9, 1, "2024-01-08", "alert", "tie"),
+               (8, 1, "2024-01-08", "message", None)])
+    assert got == {3: ("early", 2), 4: ("late", 5), 5: (None, None), 8: ("tie", 8)}
