@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 #: Bytes that separate words.
@@ -40,10 +40,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """The first n powers of base modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, (1 << 20) + 1), base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -63,11 +63,15 @@ def spans_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row + 1, bytes, offsets)`` of runs of rows of about ``limit`` bytes; a null text is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if pa.types.is_null(texts.type):
+        texts = texts.cast(pa.string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(texts):
@@ -75,6 +79,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         b = min(b, len(texts))
         yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         a = b
+    # What the batch took goes back, so that idle workers do not hold it.
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def gram_counts(docs: DataFrame, text: str, label: str, order: int) -> DataFrame
 
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
-            for a, b, data, offsets in arrays.chunks(batch.column(0), 2 << 20):
+            for a, b, data, offsets in arrays.chunks(batch.column(0), 1 << 20):
                 code = grams(data, offsets, order)
                 for name in dict.fromkeys(names[a:b].tolist()):
                     mine = code if b - a == 1 else code[np.repeat(names[a:b] == name, np.diff(offsets))]
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         costs = _Costs(model)
         for batch in batches:
             column = batch.column(len(batch.columns) - 1)
-            for a, b, data, offsets in arrays.chunks(column, 2 << 20):
+            for a, b, data, offsets in arrays.chunks(column, 1 << 20):
                 part = batch.slice(a, b - a)
                 if model.languages:
                     codes, back = np.unique(grams(data, offsets, model.order), return_inverse=True)
