@@ -45,7 +45,7 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
-        self.restore = lru_cache(maxsize=200_000)(self._restore)
+        self.restore = lru_cache(maxsize=50_000)(self._restore)
 
     def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each sign or run of a sign: what it can stand for, and the bits of that."""

@@ -13,15 +13,21 @@ from tokenizers import normalizers
 from devicehealth.llm import arrays, noisy, pretoken
 from devicehealth.session import cut_lineage, small
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Most labelled rows that the classifier is fitted on; of more, those with the smallest hashes of their ids are taken.
 LABELLED = 50_000
 #: Most features weighed, and most that are looked at once more for the list of rules.
 CANDIDATES, SHORTLIST = 100_000, 2_000
 #: A rule needs so many toxic rows that no earlier rule holds, and this many standard deviations above chance among them.
 SUPPORT, DEVIATIONS = 4, 6.0
+#: A feature with this many toxic rows in all, and this share of them, needs only one that no earlier rule holds.
+SURE, SURE_SHARE = 20, 0.95
 #: Beginnings of words that are features beside whole words.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: A feature that occurs often is one of its own: so many times at least, and one in so many words at least, so that the
+#: length of a text alone does not bring it about.
+OFTEN = ((2, 200), (3, 100))
+_OFTEN_SALTS = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
 _LEET = np.zeros(0x110000, bool)
 _LEET[[ord(c) for c in noisy.LEET]] = True
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -81,25 +87,48 @@ def disguised(units: np.ndarray, letter: np.ndarray, offsets: np.ndarray) -> lis
     return [(int(np.searchsorted(offsets, a, "right") - 1), token) for a, token in out]
 
 
-def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, feature)`` of the words of the texts, of the disguised ones as they are restored too; with repetitions."""
+def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, feature)`` once each: words and their beginnings, of the disguised ones as they are restored too, and what
+    occurs often. ``wanted``: sorted keys to keep to."""
     pieces = splitter.split(data, offsets)
     letter = (pretoken.CHARACTERS.kinds(pieces.units) & 7) == pretoken.LETTER
     number = np.searchsorted(pieces.first, np.arange(len(pieces.starts)), "right") - 1
     words = letter[pieces.starts] if len(pieces.starts) else np.zeros(0, bool)
     starts, ends, owner = pieces.starts[words], pieces.ends[words], number[words]
-    found = _feature_keys(pieces.units, starts, ends)
-    texts, keys = [np.tile(owner, len(found))], [np.concatenate(found)]
+    n_words = np.bincount(owner, minlength=len(offsets) - 1)
+    groups = [(owner, _feature_keys(pieces.units, starts, ends))]
     plain = [(t, restorer.restore(token)) for t, token in disguised(pieces.units, letter, pieces.offsets)]
     plain = [(t, w) for t, w in plain if len(w) > 2]
     if plain:
         units = pretoken._points("".join(w for _, w in plain))
         ends = np.cumsum([len(w) for _, w in plain])
-        starts = np.append(0, ends[:-1])
-        found = _feature_keys(units, starts, ends)
-        texts.append(np.tile(np.array([t for t, _ in plain]), len(found)))
-        keys.append(np.concatenate(found))
-    return np.concatenate(texts), np.concatenate(keys)
+        groups.append((np.array([t for t, _ in plain]), _feature_keys(units, np.append(0, ends[:-1]), ends)))
+    roots = None if wanted is None else np.unique(np.concatenate([wanted, *(wanted ^ s for s in _OFTEN_SALTS)]))
+    texts, keys = [], []
+    for who, found in groups:
+        for level, key in enumerate(found):
+            # A beginning that is the whole word is the word, which is there already.
+            keep = np.ones(len(key), bool) if not level else key != found[0]
+            if roots is not None and len(roots):
+                keep &= roots[np.minimum(np.searchsorted(roots, key), len(roots) - 1)] == key
+            texts.append(who[keep])
+            keys.append(key[keep])
+    texts, keys = np.concatenate(texts), np.concatenate(keys)
+    order = np.lexsort((keys, texts))
+    texts, keys = texts[order], keys[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(keys)))
+    texts, keys = texts[first], keys[first]
+    out_texts, out_keys = [texts], [keys]
+    for (least, words_each), salt in zip(OFTEN, _OFTEN_SALTS):
+        often = (times >= least) & (times * words_each >= n_words[texts])
+        out_texts.append(texts[often])
+        out_keys.append(keys[often] ^ salt)
+    texts, keys = np.concatenate(out_texts), np.concatenate(out_keys)
+    if wanted is not None:
+        inside = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
+        texts, keys = texts[inside], keys[inside]
+    return texts, keys
 
 
 @dataclass
@@ -139,17 +168,11 @@ def _counted(rows: DataFrame, cost, wanted=None) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in arrays.chunks(batch.column(0), CHUNK_BYTES):
-                texts, keys = features(splitter, restorer, data, offsets)
-                if keep is not None:
-                    inside = np.isin(keys, keep)
-                    texts, keys = texts[inside], keys[inside]
+                texts, keys = features(splitter, restorer, data, offsets, keep)
                 if not len(keys):
                     continue
-                order = np.lexsort((keys, texts))
-                texts, keys = texts[order], keys[order]
-                once = np.append(True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]))
-                unique, back = np.unique(keys[once], return_inverse=True)
-                pos = np.bincount(back, toxic[a:b][texts[once]], len(unique)).astype(np.int64)
+                unique, back = np.unique(keys, return_inverse=True)
+                pos = np.bincount(back, toxic[a:b][texts], len(unique)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(pos), pa.array(np.bincount(back, minlength=len(unique)) - pos)], names=["feature", "pos", "neg"])
 
     return rows.mapInArrow(run, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -157,25 +180,31 @@ def _counted(rows: DataFrame, cost, wanted=None) -> DataFrame:
 
 def _rules(held: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]:
     """Features in the order in which each best tells the rows that no earlier one holds, and which rows none holds;
-    ``held[f]``: rows that have f; a row counts by its weight."""
-    open_ = np.ones(len(toxic), bool)
+    ``held[f]``: rows that have f; a row counts by its weight. Then sure features that tell rows held by one rule only
+    are taken too, so that a text with but one of several telling words is found by any of them."""
+    rules_of = np.zeros(len(toxic), int)
     bad = toxic * weight
+    sure = [bad[at].sum() >= max(SURE, SURE_SHARE * weight[at].sum()) for at in held]
     chosen: list[int] = []
-    while True:
-        rows, all_bad = weight[open_].sum(), bad[open_].sum()
-        base = all_bad / max(rows, 1.0)
-        best, top = -1, (0.0, 0.0)
-        for f, at in enumerate(held):
-            mine = at[open_[at]]
-            pos, n = bad[mine].sum(), weight[mine].sum()
-            if pos >= SUPPORT and 2 * pos > n:
-                z = (pos - n * base) / np.sqrt(max(n * base * (1 - base), 1e-9))
-                if z > DEVIATIONS and ((pos + 0.5) / (n - pos + 0.5), pos) > top:
-                    best, top = f, ((pos + 0.5) / (n - pos + 0.5), pos)
-        if best < 0:
-            return chosen, open_
-        chosen.append(best)
-        open_[held[best]] = False
+    for depth in (1, 2):
+        while True:
+            open_ = rules_of < depth
+            base = bad[open_].sum() / max(weight[open_].sum(), 1.0)
+            best, top = -1, (0.0, 0.0)
+            for f, at in enumerate(held):
+                if depth > 1 and not sure[f] or f in chosen:
+                    continue
+                mine = at[open_[at]]
+                pos, n = bad[mine].sum(), weight[mine].sum()
+                if pos >= (1 if sure[f] and depth == 1 else SUPPORT) and 2 * pos > n:
+                    z = (pos - n * base) / np.sqrt(max(n * base * (1 - base), 1e-9))
+                    if z > (DEVIATIONS if depth == 1 else 0) and ((pos + 0.5) / (n - pos + 0.5), pos) > top:
+                        best, top = f, ((pos + 0.5) / (n - pos + 0.5), pos)
+            if best < 0:
+                break
+            chosen.append(best)
+            rules_of[held[best]] += 1
+    return chosen, rules_of == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED) -> Model:
@@ -183,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     ``labels(key, label)``: 0 or 1; rows with a null are left out, of several for an id the larger holds. More than ``labelled`` are cut to the ids
     of the smallest hashes, so they can go to every task; all else covers all documents. Features are weighed by the rows of either class that
-    have them; then rules are taken one after another, each for the rows that no earlier one holds, so that words
+    have them, single and often; then rules are taken one after another, each for the rows that no earlier one holds, so that words
     that merely stand beside a telling one are not taken. Without labels there are no rules, and every score is 0.
     """
     spark = docs.sparkSession
@@ -214,11 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         splitter, restorer = _splitter(), noisy.Restorer(cost.value)
         for batch in batches:
             for a, b, data, offsets in arrays.chunks(batch.column(0), CHUNK_BYTES):
-                texts, keys = features(splitter, restorer, data, offsets)
-                inside = np.isin(keys, shortlist.value)
-                pairs = np.unique(np.stack([texts[inside], np.searchsorted(shortlist.value, keys[inside])], 1), axis=0) if inside.any() else np.zeros((0, 2), np.int64)
-                bounds = np.searchsorted(pairs[:, 0], np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(pairs[:, 1].astype(np.int32)))], names=["toxic", "has"])
+                texts, keys = features(splitter, restorer, data, offsets, shortlist.value)
+                has = np.searchsorted(shortlist.value, keys)
+                order = np.lexsort((has, texts))
+                bounds = np.searchsorted(texts[order], np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(has[order].astype(np.int32)))], names=["toxic", "has"])
 
     # Rows alike in label and features come as one with a count, so few and small ones reach the driver.
     kinds = rows.mapInArrow(run, "toxic int, has array<int>").groupBy("toxic", "has").agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -254,10 +283,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for a, b, data, offsets in arrays.chunks(batch.column(at), CHUNK_BYTES):
                 score = np.full(b - a, model.rest)
                 if len(model.keys):
-                    texts, keys = features(splitter, restorer, data, offsets)
-                    where = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-                    hit = model.keys[where] == keys
-                    np.maximum.at(score, texts[hit], model.shares[where[hit]])
+                    texts, keys = features(splitter, restorer, data, offsets, model.keys)
+                    np.maximum.at(score, texts, model.shares[np.searchsorted(model.keys, keys)])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
