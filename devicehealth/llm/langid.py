@@ -121,6 +121,25 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", order: int =
     contexts = nodes.groupBy("label", "k", F.shiftrightunsigned("code", 8).alias("context")).agg(
         F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"), F.sort_array(F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n"))).alias("seen"))
     least = F.create_map(*(F.lit(x) for name in names for x in (name, max(2.0, share * totals[name]))))[F.col("label")]
+    held = F.filter("seen", lambda s: s["n"] >= F.col("least"))
+    kept = cut_lineage(contexts.withColumn("least", least).where((F.col("t") >= F.col("least")) | (F.col("k") == 0)).select(
+        "label", "k", "context", (F.col("t") + F.col("d")).alias("whole"), held.alias("held")))
+    rest = F.col("whole") - F.aggregate("held", F.lit(0).cast("long"), lambda t, s: t + s["n"])
+    for to, column, rows in (
+            (escapes, "context", kept.select("label", "k", "context", (-F.log2(rest / F.col("whole"))).alias("bits"))),
+            (entries, "code", kept.select("label", "k", F.shiftleft("context", 8).alias("context"), "whole", F.explode("held").alias("s")).select(
+                "label", "k", F.col("context").bitwiseOR(F.col("s.byte")).alias("code"), (-F.log2(F.col("s.n") / F.col("whole"))).alias("bits")))):
+        for (name, k), part in rows.toPandas().groupby(["label", "k"]):
+            part = part.sort_values(column)
+            to[names.index(name)][k] = part[column].to_numpy(np.uint64), part["bits"].to_numpy(float)
+    return Model(names, order, entries, escapes)
+    masks = [(1 << 8 * (k + 1)) - 1 for k in range(order + 1)]
+    orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m)).alias("code")) for k, m in enumerate(masks))))
+    nodes = found.select("label", orders.alias("g"), "n").groupBy("label", "g.k", "g.code").agg(F.sum("n").alias("n"))
+    # At most 256 bytes follow a context, so its list is short.
+    contexts = nodes.groupBy("label", "k", F.shiftrightunsigned("code", 8).alias("context")).agg(
+        F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"), F.sort_array(F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n"))).alias("seen"))
+    least = F.create_map(*(F.lit(x) for name in names for x in (name, max(2.0, share * totals[name]))))[F.col("label")]
     rows = contexts.withColumn("least", least).where((F.col("t") >= F.col("least")) | (F.col("k") == 0)).select(
         "label", "k", "context", "t", "d", F.filter("seen", lambda s: s["n"] >= F.col("least")).alias("held")).toPandas()
     for (name, k), part in rows.groupby(["label", "k"]):
