@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from devicehealth.llm import arrays, automaton
 from devicehealth.llm.merges import Store, file_text, vocabulary
+from devicehealth.session import cut_lineage
 
 CHUNK_BYTES = 1 << 20
 #: Most words of a lexicon; the rest is merged exactly, so this bounds its size, not the result.
@@ -35,11 +37,18 @@ def word_counts(docs: DataFrame, text: str, shared) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon_file(docs: DataFrame, text: str, shared, words: int = LEXICON_WORDS) -> str:
+def lexicon_file(docs: DataFrame, text: str, shared, words: int | None = None) -> str:
     """Compile the most frequent words of all texts; the file goes to every executor, its name there is returned."""
     spark = docs.sparkSession
     vocab = vocabulary(shared.value)
-    frequent = word_counts(docs, text, shared).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    words = LEXICON_WORDS if words is None else words
+    counts = cut_lineage(word_counts(docs, text, shared).where(F.length("word") <= 64))
+    # A table of words by steps of their logarithmic count tells the least count of at most so many words; only those are fetched.
+    step = F.floor(F.log2("n") * 16)
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    upto = itertools.accumulate(r["words"] for r in steps)
+    least = min((r["least"] for r, n in zip(steps, upto) if n <= words), default=None)
+    frequent = [] if least is None else counts.where(F.col("n") >= least).select("word").collect()
     ordered = sorted(r.word.encode() for r in frequent if r.word not in vocab.special)
     values, offsets = vocab.encode(ordered)
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin")
