@@ -29,6 +29,8 @@ RULES = {
 }
 #: Rules that a document may not fail on any host.
 BASE = ["short", "repeats"]
+#: Rules that count as two failures: prose does not fail them.
+HEAVY = ["symbols"]
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -124,15 +126,15 @@ def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
 def judged(docs: DataFrame, host: str = "source", text: str = "text", bad_rate: float = 0.5, drop_text: bool = False) -> DataFrame:
     """Documents with the counts, ``base_failed``, ``failures``, ``host_rate`` (bad hosts only) and ``kept``, all behind ``OWN``.
 
-    A document goes if it fails a base rule, or two other rules, or one other rule on a host whose shrunk failure rate
-    is above ``bad_rate``. A document that fails no rule stays whatever its host. Null text: no words, so it fails the
+    A document goes if it fails a base rule, or two other rules (a heavy one counts as two), or one other rule on a host
+    whose shrunk failure rate is above ``bad_rate``. A document that fails no rule stays whatever its host. Null text: no words, so it fails the
     length rule. Null host: one host of its own. Repeated rows: each is judged, and counts in its host's rate. No rows:
     no rows. Other columns pass through.
     The counts are made twice, once for the hosts and once for the rows, so no text is shuffled or stored.
     """
     hosts = host_rates(with_counts(docs.select(F.col(host).alias(host), F.col(text).alias(text)), text, drop_text=True), host)
     bad = hosts.where(F.col("rate") > bad_rate).select(F.col("host").alias(f"{OWN}host"), F.col("rate").alias(f"{OWN}host_rate"))
-    other = sum((_failure(r).cast("int") for r in RULES if r not in BASE), F.lit(0))
+    other = sum((_failure(r).cast("int") * (2 if r in HEAVY else 1) for r in RULES if r not in BASE), F.lit(0))
     base = F.lit(False)
     for r in BASE:
         base = base | _failure(r)

@@ -41,17 +41,20 @@ def test_query_on_documents(spark):
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.base_failed and r.kept)
 
 
-def text(i, symbols=False):
+def text(i, lines=False, symbols=False):
+    """Clean words; or every other line the same one word; or with signs."""
+    if lines:
+        return "\n".join(f"x\nw{i}q{k} w{i}r{k} w{i}s{k}" for k in range(20))
     return " ".join(f"w{i}q{k}{'#' if symbols and k % 3 == 0 else ''}" for k in range(60))
 
 
 def test_verdict_of_a_host_reaches_failing_documents_only(spark):
-    rows = [(i, text(i, symbols=i < 45), "bad") for i in range(50)] + [(100 + i, text(i, symbols=i == 0), "good") for i in range(50)] + [
-        (200 + i, text(i), f"h{i}") for i in range(100)] + [(300, text(300, symbols=True), "h0"), (301, text(301, symbols=True), None), (302, None, "h1")]
+    rows = [(i, text(i, lines=i < 45), "bad") for i in range(50)] + [(100 + i, text(i, lines=i == 0, symbols=i == 1), "good") for i in range(50)] + [
+        (200 + i, text(i), f"h{i}") for i in range(100)] + [(300, text(300, lines=True), "h0"), (301, text(301, lines=True), None), (302, None, "h1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id for r in quality_filter(docs).collect()}
     assert not kept & set(range(45)) and set(range(45, 50)) <= kept  # the clean ones of the bad host stay
-    assert 100 in kept and 301 in kept and 302 not in kept
+    assert 100 in kept and 301 in kept and 302 not in kept and 101 not in kept
     rates = {r.host: r.rate for r in host_rates(with_counts(docs)).collect()}
     assert rates["bad"] > 0.8 and 0.0 < rates["h5"] < 0.5  # one clean document does not make a rate of 0
 
