@@ -10,8 +10,8 @@ from devicehealth.llm import arrays
 
 #: Letters that a sign can stand for; fixed values of common substitutions.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
-#: Bits for a substitution, for dropping a separator, for dropping a sign that can be a letter, for shortening a run of a letter, for leaving it.
-SUBSTITUTED, DROPPED, IGNORED, SHORTENED, LEFT = 1.0, 1.0, 10.0, 1.0, 8.0
+#: Bits for a substitution, for dropping a separator, for ending a word at one, for dropping a sign that can be a letter, for shortening a run of a letter, for leaving it.
+SUBSTITUTED, DROPPED, CLOSED, IGNORED, SHORTENED, LEFT = 1.0, 1.0, 2.0, 10.0, 1.0, 8.0
 #: Symbols of the language model: 0 is a word's edge, 1-26 the letters, 27 any other letter.
 SYMBOLS = 28
 _OF_BYTE = np.zeros(256, np.int64)
@@ -37,11 +37,11 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
 class Restorer:
-    """Most likely plain word of a disguised token."""
+    """Most likely plain words of a disguised token, with a blank between two."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
@@ -61,14 +61,18 @@ class Restorer:
                 runs = {1, min(n, 2)}
                 out.append([(x * r, SUBSTITUTED * n) for x in LEET[c] for r in runs] + [("", IGNORED * n)])
             else:
-                out.append([("", DROPPED)])
+                # A stretch of separators stands between two letters or between two words.
+                while j < len(token) and not token[j].isalpha() and token[j] not in LEET:
+                    j += 1
+                out.append([("", DROPPED), (" ", CLOSED)])
             i = j
         return out
 
     def _restore(self, token: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # What is said so far is a chain of letters, each with those before it.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for arcs in self._lattice(token):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (bits, said) in best.items():
                 for letters, channel in arcs:
                     p, q, total = a, b, bits + channel
@@ -77,6 +81,11 @@ class Restorer:
                         total += self.cost[p][q][s]
                         p, q = q, s
                     if (p, q) not in step or total < step[p, q][0]:
-                        step[p, q] = total, said + letters
+                        step[p, q] = total, (said, letters) if letters else said
             best = step
-        return min((bits + self.cost[p][q][0], said) for (p, q), (bits, said) in best.items())[1]
+        _, said = min(((bits + self.cost[p][q][0], said) for (p, q), (bits, said) in best.items()), key=lambda x: x[0])
+        out = []
+        while said is not None:
+            said, letters = said
+            out.append(letters)
+        return "".join(reversed(out)).strip()

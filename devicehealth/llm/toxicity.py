@@ -97,7 +97,7 @@ def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.nda
     starts, ends, owner = pieces.starts[words], pieces.ends[words], number[words]
     n_words = np.bincount(owner, minlength=len(offsets) - 1)
     groups = [(owner, _feature_keys(pieces.units, starts, ends))]
-    plain = [(t, restorer.restore(token)) for t, token in disguised(pieces.units, letter, pieces.offsets)]
+    plain = [(t, w) for t, token in disguised(pieces.units, letter, pieces.offsets) for w in restorer.restore(token).split()]
     plain = [(t, w) for t, w in plain if len(w) > 2]
     if plain:
         units = pretoken._points("".join(w for _, w in plain))

@@ -14,6 +14,14 @@ def restorer():
     return noisy.Restorer(noisy.costs(noisy.trigrams(np.frombuffer(PLAIN.encode(), np.uint8))))
 
 
+def found(texts, *words):
+    """The texts that have each word as a feature."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    owner, keys = toxicity.features(toxicity._splitter(), restorer(), data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    units = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
+    return [sorted(set(owner[keys == toxicity._feature_keys(u, np.array([0]), np.array([len(u)]))[0][0]].tolist())) for u in units]
+
+
 def test_restoration():
     r = restorer()
     for seen, word in (("1d1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("tra5h", "trash"),
@@ -35,6 +43,13 @@ def test_disguised_words_become_features():
     assert has("idiot") == [0, 1, 7] and has("stupid") == [2] and has("moron") == [7] and has("plain") == [3]
 
 
+def test_words_set_apart_end_where_the_model_ends_them():
+    r = restorer()
+    for seen, words in (("a l o s e r", "a loser"), ("a m o r o n", "a moron"), ("s t u p i d i d i o t", "stupid idiot"), ("s t u p i d   i d i o t", "stupid idiot"), ("a s t u p i d c l o w n", "a stupid clown")):
+        assert r.restore(seen) == words, seen
+    assert found(["such a l o s e r", "what a s t u p i d i d i o t", "a loser"], "loser", "stupid", "idiot", "aloser") == [[0, 2], [1], [1], []]
+
+
 def test_rules_pass_over_words_that_merely_stand_beside(spark):
     rng = np.random.default_rng(1)
     filler = lambda n: " ".join(f"w{rng.integers(3000)}x" for _ in range(n))
