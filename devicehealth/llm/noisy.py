@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -10,8 +11,9 @@ from devicehealth.llm import arrays
 
 #: Letters that a sign can stand for; fixed values of common substitutions.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
-#: Bits for a substitution, for dropping a separator, for ending a word at one, for dropping a sign that can be a letter, for shortening a run of a letter, for leaving it.
-SUBSTITUTED, DROPPED, CLOSED, IGNORED, SHORTENED, LEFT = 1.0, 1.0, 2.0, 10.0, 1.0, 8.0
+#: Bits for a substitution, for dropping a separator, for ending a word at one, for dropping a sign that can be a letter, for shortening a run of a letter, for leaving it,
+#: for taking a letter for a repeat of the one before it.
+SUBSTITUTED, DROPPED, CLOSED, IGNORED, SHORTENED, LEFT, REPEATED = 1.0, 1.0, 2.0, 10.0, 1.0, 8.0, 2.0
 #: Symbols of the language model: 0 is a word's edge, 1-26 the letters, 27 any other letter.
 SYMBOLS = 28
 _OF_BYTE = np.zeros(256, np.int64)
@@ -45,7 +47,10 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
-        self.restore = lru_cache(maxsize=50_000)(self._restore)
+        #: By the symbols before, of and behind a double: whether one letter of it is likelier than both.
+        double = cost[np.arange(SYMBOLS), np.arange(SYMBOLS)]
+        self.single = np.einsum("bcc->bc", cost)[:, :, None] + double[None] > cost + REPEATED
+        self.hidden = lru_cache(maxsize=50_000)(self._hidden)
 
     def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each sign or run of a sign: what it can stand for, and the bits of that."""
@@ -56,10 +61,11 @@ class Restorer:
                 j += 1
             n = j - i
             if c.isalpha():
-                out.append([(c * n, 0.0)] if n < 3 else [(c, SHORTENED), (c * 2, SHORTENED), (c * n, LEFT)])
+                out.append([(c, 0.0)] if n < 2 else [(c, REPEATED), (c * 2, 0.0)] if n < 3 else [(c, SHORTENED), (c * 2, SHORTENED), (c * n, LEFT)])
             elif c in LEET:
                 runs = {1, min(n, 2)}
-                out.append([(x * r, SUBSTITUTED * n) for x in LEET[c] for r in runs] + [("", IGNORED * n)])
+                # An exclamation mark at the end may be just that.
+                out.append([(x * r, SUBSTITUTED * n) for x in LEET[c] for r in runs] + [("", DROPPED if c == "!" and j == len(token) else IGNORED * n)])
             else:
                 # A stretch of separators stands between two letters or between two words.
                 while j < len(token) and not token[j].isalpha() and token[j] not in LEET:
@@ -68,22 +74,43 @@ class Restorer:
             i = j
         return out
 
-    def _restore(self, token: str) -> str:
+    def _hidden(self, token: str) -> tuple[list[str], str]:
+        """``(words, whole)``: what the token stands for beside the words written in it; the token itself if it is letters only."""
+        whole = token if token.isalpha() else ""
+        written = Counter([whole] if whole else "".join(c if c.isalpha() else " " for c in token).split())
+        words = []
+        for w in self.restore(token).split():
+            if written[w]:
+                written[w] -= 1
+            else:
+                words.append(w)
+        return words, whole
+
+    def restore(self, token: str) -> str:
         # What is said so far is a chain of letters, each with those before it.
+        cost = self.cost
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for arcs in self._lattice(token):
             step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (bits, said) in best.items():
-                for letters, channel in arcs:
+            for letters, channel in arcs:
+                symbols = [_symbol(c) for c in letters]
+                first = symbols[0] if symbols and 1 <= symbols[0] <= 26 else -1
+                for (a, b), (bits, said) in best.items():
                     p, q, total = a, b, bits + channel
-                    for c in letters:
-                        s = _symbol(c)
-                        total += self.cost[p][q][s]
+                    for s in symbols:
+                        total += cost[p][q][s]
                         p, q = q, s
                     if (p, q) not in step or total < step[p, q][0]:
                         step[p, q] = total, (said, letters) if letters else said
+                    if b == first:
+                        p, q, total = a, b, bits + channel + REPEATED
+                        for s in symbols[1:]:
+                            total += cost[p][q][s]
+                            p, q = q, s
+                        if (p, q) not in step or total < step[p, q][0]:
+                            step[p, q] = total, (said, letters[1:]) if letters[1:] else said
             best = step
-        _, said = min(((bits + self.cost[p][q][0], said) for (p, q), (bits, said) in best.items()), key=lambda x: x[0])
+        _, said = min(((bits + cost[p][q][0], said) for (p, q), (bits, said) in best.items()), key=lambda x: x[0])
         out = []
         while said is not None:
             said, letters = said

@@ -31,6 +31,8 @@ _OFTEN_SALTS = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
 _LEET = np.zeros(0x110000, bool)
 _LEET[[ord(c) for c in noisy.LEET]] = True
 _SALT = np.uint64(0x5851F42D4C957F2D)
+#: Stands for no feature.
+_NONE = np.uint64(0)
 
 
 def _splitter() -> pretoken.Splitter:
@@ -43,48 +45,65 @@ def _feature_keys(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> li
     return [whole, *(np.where(ends - starts >= k, arrays.spans_hash(units, starts, np.minimum(ends, starts + k)), whole) for k in PREFIXES)]
 
 
-def disguised(units: np.ndarray, letter: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
-    """``(text, token)`` of tokens that may be disguised words: signs for letters, runs of a letter, letters set apart."""
+def disguised(units: np.ndarray, letter: np.ndarray, offsets: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, end)`` of what may be disguised: words with signs for letters, with separators or with runs of a letter,
+    and runs of letters or signs set apart. Of the words with doubles alone those are left out that the channel surely leaves
+    as they are (``single``, see ``Restorer``): there each double is decided by its neighbours."""
     n = len(units)
-    if n < 3:
-        return []
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     leet = _LEET[units]
-    next_letter = np.append(letter[1:], False) & ~cut[1:]
-    prev_letter = np.append(False, letter[:-1]) & ~cut[:-1]
-    digit = (units >= 48) & (units <= 57)
-    mark = leet & (next_letter | (prev_letter & digit))
-    mark[:-2] |= letter[:-2] & (units[:-2] == units[1:-1]) & (units[1:-1] == units[2:])
-    # Single letters two places apart, with one and the same sign that is no letter between them.
-    single = letter & ~next_letter & ~prev_letter
-    apart = np.zeros(n, bool)
-    if n >= 5:
-        sign = ~letter & (units != 10)
-        apart[:-4] = single[:-4] & single[2:-2] & single[4:] & sign[1:-3] & (units[1:-3] == units[3:-1])
-        apart[:-4] &= ~(cut[1:-4] | cut[2:-3] | cut[3:-2] | cut[4:-1])
-    white = np.isin(units, [9, 10, 11, 12, 13, 32])
-    word_start = np.flatnonzero(~white & (np.append(True, white[:-1]) | cut[:-1]))
-    word_end = np.flatnonzero(~white & (np.append(white[1:], True) | cut[1:])) + 1
-    out: list[tuple[int, str]] = []
-
-    def text_of(a: int, b: int) -> str:
-        return units[a:b].astype("<u4").tobytes().decode("utf-32-le")
-
-    marked = np.flatnonzero(mark & ~white)
-    for w in np.unique(np.searchsorted(word_start, marked, "right") - 1).tolist():
-        token = text_of(word_start[w], word_end[w]).strip(".,;:?!\"'()[]{}*#%&<>~-_")
-        if sum(c.isalpha() for c in token) >= 2:
-            out.append((int(word_start[w]), token))
-    done = -1
-    for i in np.flatnonzero(apart).tolist():
-        if i > done:
-            j = i + 4
-            while j + 2 < n and single[j + 2] and units[j + 1] == units[i + 1] and not cut[j + 1] and not cut[j + 2]:
-                j += 2
-            out.append((i, text_of(i, j + 1)))
-            done = j
-    return [(int(np.searchsorted(offsets, a, "right") - 1), token) for a, token in out]
+    wordy = letter | leet
+    white = np.isin(units, [9, 10, 11, 12, 13, 32]) | (pretoken.CHARACTERS.kinds(units) & 7 == pretoken.WHITE)
+    word_start = np.flatnonzero(~white & (np.append(True, white[:-1]) | cut[:-1])) if n else np.zeros(0, np.int64)
+    word_end = np.flatnonzero(~white & (np.append(white[1:], True) | cut[1:])) + 1 if n else np.zeros(0, np.int64)
+    symbol = np.where((units >= 97) & (units <= 122), units.astype(np.int64) - 96, np.where(letter, 27, 0))
+    # Symbols and letters with an edge at the ends of texts; place i of the texts is place i + 1 here.
+    double = np.append(False, letter[1:] & (units[1:] == units[:-1]) & ~cut[1:-1]) if n else np.zeros(0, bool)
+    triple = np.append(False, double[1:] & double[:-1]) if n else double
+    at = np.flatnonzero(double)
+    before = np.where((at >= 2) & ~cut[np.maximum(at - 1, 0)], symbol[np.maximum(at - 2, 0)], 0)
+    behind = np.where(cut[at + 1], 0, np.append(symbol, 0)[at + 1])
+    mark = leet | triple
+    mark[at[single[before, symbol[at], behind]]] = True
+    # Separators between letters or signs of one word.
+    places = np.flatnonzero(wordy)
+    gap = np.diff(places)
+    owner = np.searchsorted(offsets, places, "right")
+    word = np.searchsorted(word_start, places, "right")
+    parted = (gap > 1) & (word[1:] == word[:-1])
+    mark[places[1:][parted]] = True
+    # Letters or signs each alone, with one to three other characters between two: at least three in a row.
+    near = (gap > 1) & (gap <= 4) & (owner[1:] == owner[:-1])
+    joined = (gap == 1) & (owner[1:] == owner[:-1])
+    alone = ~(np.append(False, joined) | np.append(joined, False)) if len(places) else np.zeros(0, bool)
+    linked = near & alone[1:] & alone[:-1] if len(places) else np.zeros(0, bool)
+    edge = np.diff(np.concatenate([[0], linked.astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = last - first >= 2
+    run_start, run_end = places[first[long]], places[last[long]] + 1
+    words = np.unique(np.searchsorted(word_start, np.flatnonzero(mark & ~white), "right") - 1)
+    starts, ends = word_start[words], word_end[words]
+    # A word inside of a run is read with the run.
+    run = np.searchsorted(run_start, ends, "left") - 1
+    inside = (run >= 0) & (run_end[np.maximum(run, 0)] > starts) if len(run_start) else np.zeros(len(words), bool)
+    starts, ends = np.concatenate([starts[~inside], run_start]), np.concatenate([ends[~inside], run_end])
+    return np.searchsorted(offsets, starts, "right") - 1, starts, ends
+
+
+def _restored(restorer: noisy.Restorer, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str], list[str]]:
+    """``(token, word, whole)``: words that the tokens stand for and that are not written in them; ``whole`` is the token
+    itself if it is letters only."""
+    _, one, back = np.unique(arrays.spans_hash(units, starts, ends), return_index=True, return_inverse=True)
+    said = [restorer.hidden(units[a:b].astype("<u4").tobytes().decode("utf-32-le").strip(".,;:?\"'()[]{}*#%&<>~-_")) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    some = np.flatnonzero(np.array([len(w) for w, _ in said], np.int64)[back]) if len(back) else back
+    got = [(i, w, said[k][1]) for i, k in zip(some.tolist(), back[some].tolist()) for w in said[k][0]]
+    return np.array([i for i, _, _ in got], np.int64), [w for _, w, _ in got], [x for _, _, x in got]
+
+
+def _word_keys(words: list[str]) -> list[np.ndarray]:
+    ends = np.cumsum([len(w) for w in words])
+    return _feature_keys(pretoken._points("".join(words)), np.append(0, ends[:-1]), ends)
 
 
 def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +116,18 @@ def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.nda
     starts, ends, owner = pieces.starts[words], pieces.ends[words], number[words]
     n_words = np.bincount(owner, minlength=len(offsets) - 1)
     groups = [(owner, _feature_keys(pieces.units, starts, ends))]
-    plain = [(t, w) for t, token in disguised(pieces.units, letter, pieces.offsets) for w in restorer.restore(token).split()]
-    plain = [(t, w) for t, w in plain if len(w) > 2]
-    if plain:
-        units = pretoken._points("".join(w for _, w in plain))
-        ends = np.cumsum([len(w) for _, w in plain])
-        groups.append((np.array([t for t, _ in plain]), _feature_keys(units, np.append(0, ends[:-1]), ends)))
+    hidden, hidden_starts, hidden_ends = disguised(pieces.units, letter, pieces.offsets, restorer.single)
+    token, restored, wholes = _restored(restorer, pieces.units, hidden_starts, hidden_ends)
+    if restored:
+        # A beginning that the word as it is written has too is there already.
+        had = _word_keys(wholes)
+        groups.append((hidden[token], [np.where(key == old, _NONE, key) for key, old in zip(_word_keys(restored), had)]))
     roots = None if wanted is None else np.unique(np.concatenate([wanted, *(wanted ^ s for s in _OFTEN_SALTS)]))
     texts, keys = [], []
     for who, found in groups:
         for level, key in enumerate(found):
             # A beginning that is the whole word is the word, which is there already.
-            keep = np.ones(len(key), bool) if not level else key != found[0]
+            keep = (key != _NONE) & (True if not level else key != found[0])
             if roots is not None and len(roots):
                 keep &= roots[np.minimum(np.searchsorted(roots, key), len(roots) - 1)] == key
             texts.append(who[keep])

@@ -50,6 +50,36 @@ def test_words_set_apart_end_where_the_model_ends_them():
     assert found(["such a l o s e r", "what a s t u p i d i d i o t", "a loser"], "loser", "stupid", "idiot", "aloser") == [[0, 2], [1], [1], []]
 
 
+def test_signs_spacing_and_repetition_in_any_mixture():
+    seen = ["i d 1 o t", "i  d  i  o  t", "i - d - i - o - t", "an idiiot", "1d!ot.", "!d!0t!", "id-iot", "i.d.i-o.t", "1 d d 1 0 t", "idi0oot", "i\nd\ni\no\nt", "ID1OT"]
+    assert found(seen, "idiot") == [list(range(len(seen)))]
+    assert found(["sc-um", "5cum", "s c u u m", "scuum", "s.c-u.m"], "scum") == [list(range(5))]
+    assert found(["m0r0n", "moroon", "mor.on", "m o r 0 0 n", "(m-o-r-o-n)"], "moron") == [list(range(5))]
+    short = noisy.Restorer(noisy.costs(noisy.trigrams(np.frombuffer(b"what shit you ass are, shit and ass " * 30, np.uint8))))
+    for token, word in (("5h17", "shit"), ("$h!+", "shit"), ("sh!+", "shit"), ("@$$", "ass"), ("as$", "ass")):
+        data = np.frombuffer(f"x {token} y".encode(), np.uint8)
+        keys = toxicity.features(toxicity._splitter(), short, data, np.array([0, len(data)]))[1]
+        assert toxicity._word_keys([word])[0][0] in keys, token
+
+
+def test_doubles_are_decided_as_the_lattice_decides_them():
+    r, rng = restorer(), np.random.default_rng(5)
+    for _ in range(3000):
+        token = "".join(str(c) * int(rng.choice([1, 1, 2])) for c in rng.choice(list("idotsumrnclé"), rng.integers(2, 8)))
+        units = np.frombuffer(token.encode("utf-32-le"), np.uint32)
+        sent = len(toxicity.disguised(units, np.ones(len(units), bool), np.array([0, len(units)]), r.single)[0])
+        assert sent or r.restore(token) == token, token
+
+
+def test_a_word_once_counts_once():
+    once = found(["idiiot the", "i.d.i.o.t the", "idiot! the"], "idiot")
+    assert once == [[0, 1, 2]]
+    salted = [k ^ toxicity._OFTEN_SALTS[0] for k in toxicity._word_keys(["idiot"])]
+    data = np.frombuffer(b"idiiot the i.d.i.o.t the idiot! the", np.uint8)
+    keys = toxicity.features(toxicity._splitter(), restorer(), data, np.array([0, 11, 25, len(data)]))[1]
+    assert not np.isin(np.concatenate(salted), keys).any()
+
+
 def test_rules_pass_over_words_that_merely_stand_beside(spark):
     rng = np.random.default_rng(1)
     filler = lambda n: " ".join(f"w{rng.integers(3000)}x" for _ in range(n))
