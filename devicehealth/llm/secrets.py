@@ -111,13 +111,44 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": _named(assign, "assign"), "access": _named(matches(text, ACCESS), "access"), "hex": _named(matches(text, HEX), "hex")}
 
 
-def entropy_spans(text: Column, base: Column, allow: list[str] | None = None) -> Column:
-    """Stretches of high entropy in long strings, without those that the allow list finds or that touch a base span."""
+def _stretches(m: Column, base: Column, marks: list[str]) -> Column:
+    """What the base spans and the parts that one of ``marks`` finds leave of a long string: ``array<struct<start, end, value>>``
+    of at least a window; parts lie between separators."""
+    touching = F.transform(F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+                           lambda b: F.struct((b["start"] - m["start"]).alias("start"), (b["end"] - m["start"]).alias("end")))
+    cuts = touching
+    if marks:
+        part = "(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?:" + "|".join(f"(?:{a})" for a in marks) + ")[A-Za-z0-9+]*"
+        cuts = F.concat(touching, F.transform(matches(m["value"], part), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
+
+    def left(cuts: Column) -> Column:
+        end = F.struct(F.char_length(m["value"]).alias("start"), F.char_length(m["value"]).alias("end"))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("out"))
+        gaps = F.aggregate(F.concat(F.array_sort(cuts), F.array(end)), begin, lambda s, c: F.struct(
+            F.greatest(s["at"], c["end"]).alias("at"),
+            F.when(c["start"] - s["at"] >= WINDOW, F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), c["start"].alias("end"))))).otherwise(s["out"]).alias("out")), lambda s: s["out"])
+        return F.transform(gaps, lambda g: F.struct((m["start"] + g["start"]).alias("start"), (m["start"] + g["end"]).alias("end"),
+                                                    F.substr(m["value"], g["start"] + 1, g["end"] - g["start"]).alias("value")))
+
+    return _let(cuts, lambda c: F.when(F.size(c) == 0, F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))).otherwise(left(c)))
+
+
+def entropy_spans(text: Column, base: Column, allow: list[str] | None = None, rest: bool = False) -> Column:
+    """Stretches of high entropy in long strings, without those that the allow list finds or that touch a base span.
+
+    ``rest``: what stands beside a base span in a long string is measured too, and an entry of the allow list that does not
+    begin with ``^`` frees only the part between separators that it finds.
+    """
     allowed = ALLOW if allow is None else allow
     found = matches(text, CLASSES["base64"][0])
+    if rest:
+        marks = [a for a in allowed if not a.startswith("^")]
+        allowed = [a for a in allowed if a.startswith("^")]
+        found = F.flatten(F.transform(found, lambda m: _stretches(m, base, marks)))
     if allowed:
         found = F.filter(found, lambda m: ~m["value"].rlike("|".join(f"(?:{a})" for a in allowed)))
-    found = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    if not rest:
+        found = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     as_hex = f"^{CLASSES['hex'][0]}$"
 
     def measured(m: Column) -> Column:
@@ -135,7 +166,7 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None, rest: bool = False) -> DataFrame:
     """Documents with ``__dh_base`` by kind and ``__dh_added``: spans as ``array<struct<start, kind, end>>``.
 
     Null text counts as empty: no spans. Repeated rows are each scanned; no key is needed. A text is scanned whole, in
@@ -144,11 +175,13 @@ def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None)
     whole = docs.withColumn("__dh_whole", F.coalesce(F.col(text), F.lit("")))
     base = base_spans(F.col("__dh_whole"))
     found = whole.withColumns({f"__dh_{k}": v for k, v in base.items()}).withColumn("__dh_base", F.concat(*(F.col(f"__dh_{k}") for k in base)))
-    return found.withColumn("__dh_added", entropy_spans(F.col("__dh_whole"), F.col("__dh_base"), allow))
+    return found.withColumn("__dh_added", entropy_spans(F.col("__dh_whole"), F.col("__dh_base"), allow, rest))
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow: list[str] | None = None) -> DataFrame:
-    """The same rows and columns, each secret of ``text`` replaced by the mask; touching or overlapping spans by one. Null stays null."""
+    """The same rows and columns, each secret of ``text`` replaced by the mask; touching or overlapping spans by one. Null stays null.
+
+    What stands beside a base span or a placeholder in a long string is measured too (``rest``)."""
     spans = F.array_sort(F.concat("__dh_base", "__dh_added"))
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
@@ -164,5 +197,5 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow:
         return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(F.col("__dh_whole"), a + 1, b - a)), mask)
 
     clean = F.when(F.col(text).isNull() | (F.size(spans) == 0), F.col(text)).otherwise(_let(F.aggregate(spans, none, joined), cut))
-    return scanned(docs, text, allow).withColumn("__dh_clean", clean).select(
+    return scanned(docs, text, allow, rest=True).withColumn("__dh_clean", clean).select(
         *(F.col("__dh_clean").alias(c) if c == text else F.col(c) for c in docs.columns))
