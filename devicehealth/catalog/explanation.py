@@ -6,7 +6,6 @@ from devicehealth.catalog.aggregates import rounded
 from devicehealth.catalog.registry import query
 from devicehealth.catalog.tables import FLEET_SQL, fleet, table
 from devicehealth.operators import explain, models
-from devicehealth.operators.models import Size
 from devicehealth.plans import thresholds
 from devicehealth.schema import BASE_FEATURES, CRASHES, THRESHOLD_FEATURES
 
@@ -66,7 +65,7 @@ def x2_rows(spark, sf):
 @query("x3_model_root_causes")
 def x3_model(spark, sf):
     rows = fleet(spark, sf).select("reading_id", *BASE_FEATURES, CRASHES).na.drop()
-    weights = models.importance_map(models.forest_regression(rows, BASE_FEATURES, CRASHES, Size(5, 4)), BASE_FEATURES)
+    weights = models.importance_map(models.forest_regression(rows, BASE_FEATURES, CRASHES), BASE_FEATURES)
     return explain.root_causes(rows, ["reading_id"], BASE_FEATURES, weights, top=5)
 
 
