@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from devicehealth.llm import arrays
@@ -28,7 +29,11 @@ WINDOW, GRAM, SYMBOL = 400, 32, 25
 #: Bytes of a longer text that are cut at once.
 SLAB = 1 << 22
 #: Bytes of a collection, and pieces of one anchor in it: an anchor of more pieces is dealt over several collections.
-COLLECTION, GROUP = 1 << 20, 1024
+COLLECTION, GROUP = 1 << 17, 1024
+#: Collections of one anchor for each part of the strings that are looked for in all of them.
+SHARE = 8
+#: Most anchors sent to all tasks (16 MB as a table of hashes); beyond it they are joined.
+ANCHORS = 500_000
 #: Most texts whose keys are sent to all tasks; beyond it the texts are joined.
 WANTED = 200_000
 _U = np.uint64
@@ -234,61 +239,90 @@ def piece_table(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: str, limit: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole groups of equal keys, each closed as soon as the bytes of its ``size`` column reach the limit."""
+    held, total, last = [], 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = batch.column(size)
+        units = np.append(0, np.cumsum(pc.fill_null((pc.binary_length if pa.types.is_binary(column.type) else pc.list_value_length)(column), 0).to_numpy(zero_copy_only=False)))
+        values = [batch.column(k).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        if last is not None and last != tuple(v[0] for v in values):
+            edges = np.append(0, edges)
+        a = 0
+        for e in edges:
+            if total + units[e] - units[a] >= limit:
+                yield pa.Table.from_batches([*held, batch.slice(a, e - a)] if e > a else held)
+                held, total, a = [], 0, e
+        held.append(batch.slice(a))
+        total += int(units[-1] - units[a])
+        last = tuple(v[-1] for v in values)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list or binary column, and where each row's begin."""
+    whole = column.combine_chunks()
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:whole.offset + len(whole) + 1].astype(np.int64)
+    data = np.frombuffer(whole.buffers()[2], np.uint8) if pa.types.is_binary(whole.type) else whole.values.to_numpy()
+    return data[offsets[0]:offsets[-1]].astype(kind, copy=False), offsets - offsets[0]
+
+
 def collected(parts: DataFrame, window: int, symbol: int) -> DataFrame:
-    """``(fp, ph, runs, hot, lone, lone_h, other_h)`` of ``parts(fp, s, ph, m, anchor, hot, bytes)``, whose partitions hold all of an ``(fp, s)`` next to each other.
+    """``(fp, ph, runs, b, at, h)`` of ``parts(fp, s, ph, m, anchor, dealt, bytes)``, whose partitions hold all of an ``(fp, s)`` next to each other.
 
-    ``runs`` of strings found repeated. Of an anchor dealt over several collections, ``lone`` are the places of strings that are alone in this one, ``lone_h`` their
-    hashes, and ``other_h`` those of the repeated ones, once each.
+    ``runs`` of strings found repeated. Of an anchor dealt over several collections there are more rows, which share out hashes ``h`` of its strings over ``b``: ``at``
+    is the place of a string that is alone in this collection, -1 for a repeated one, once of each kind.
     """
     schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("ph", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType())),
-                           T.StructField("lone", T.ArrayType(T.IntegerType())), T.StructField("lone_h", T.ArrayType(T.LongType())), T.StructField("other_h", T.ArrayType(T.LongType()))])
-
-    def whole(rows: pa.Table) -> pa.RecordBatch:
-        flat = rows["bytes"].combine_chunks()
-        offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1].astype(np.int64)
-        data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-        offsets = offsets - offsets[0]
-        hot = rows["hot"].to_numpy()
-        base, often, first = repeated(data, offsets, rows["anchor"].to_numpy().astype(np.int64), rows["m"].to_numpy(), window, symbol)
-        runs, at = _runs(often, base)
-        dealt = np.repeat(hot, np.diff(base))
-        piece = np.repeat(np.arange(len(hot)), np.diff(base))
-        where = np.arange(len(often)) - base[piece]
-        hashed = grams(data, window)[0] if hot.any() else np.zeros(0, _U)
-        lone = np.flatnonzero(dealt & ~often)
-        other = np.flatnonzero(dealt & often & first)
-        cut = lambda x: np.searchsorted(x, base)
-        value = lambda x: hashed[offsets[piece[x]] + where[x]] if len(x) else np.zeros(0, _U)
-        return pa.RecordBatch.from_arrays(
-            [rows["fp"].combine_chunks(), rows["ph"].combine_chunks(), _list(runs.astype(np.int32), at, pa.int32()), _list(where[lone].astype(np.int32), cut(lone), pa.int32()),
-             _list(value(lone), cut(lone), pa.int64()), _list(value(other), cut(other), pa.int64())], names=schema.names)
+                           T.StructField("b", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("h", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            fp, s = batch.column("fp").to_numpy(), batch.column("s").to_numpy()
-            total = np.cumsum(pa.compute.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False))
-            # Between two anchors the collection may be closed; the first row may still belong to the one before.
-            edges = np.flatnonzero((fp[1:] != fp[:-1]) | (s[1:] != s[:-1])) + 1
-            if held and len(fp) and (fp[0], s[0]) != held_key:
-                edges = np.append(0, edges)
-            a = 0
-            for e in edges:
-                if size + (total[e - 1] if e else 0) - (total[a - 1] if a else 0) >= COLLECTION:
-                    if e > a:
-                        held.append(batch.slice(a, e - a))
-                    yield whole(pa.Table.from_batches(held))
-                    held, size, a = [], 0, e
-            if len(fp) > a:
-                held.append(batch.slice(a))
-                size += int(total[-1] - (total[a - 1] if a else 0))
-                held_key = fp[-1], s[-1]
-        if held:
-            yield whole(pa.Table.from_batches(held))
+        for rows in _groups(batches, ["fp", "s"], "bytes", COLLECTION):
+            data, offsets = _flat(rows["bytes"], np.uint8)
+            fp, ph, dealt = (rows[k].to_numpy() for k in ("fp", "ph", "dealt"))
+            base, often, first = repeated(data, offsets, rows["anchor"].to_numpy().astype(np.int64), rows["m"].to_numpy(), window, symbol)
+            runs, ends = _runs(often, base)
+            none = np.zeros(len(fp) + 1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ph), _list(runs.astype(np.int32), ends, pa.int32()), pa.nulls(len(fp), pa.int64()),
+                                              _list(none[:0].astype(np.int32), none, pa.int32()), _list(none[:0], none, pa.int64())], names=schema.names)
+            if (dealt > 1).any():
+                piece = np.repeat(np.arange(len(fp)), np.diff(base))
+                sent = np.flatnonzero((dealt[piece] > 1) & (first | ~often))
+                piece = piece[sent]
+                at = sent - base[piece]
+                h = grams(data, window)[0][offsets[piece] + at]
+                b = (h % (-(-dealt[piece] // SHARE)).astype(_U)).astype(np.int64)
+                by = np.lexsort((b, piece))
+                piece, at, h, b = piece[by], np.where(often[sent], -1, at)[by], h[by], b[by]
+                edge = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (b[1:] != b[:-1])))
+                ends, none = np.append(edge, len(h)), np.zeros(len(edge) + 1, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp[piece[edge]]), pa.array(ph[piece[edge]]), _list(none[:0].astype(np.int32), none, pa.int32()), pa.array(b[edge]),
+                     _list(at.astype(np.int32), ends, pa.int32()), _list(h, ends, pa.int64())], names=schema.names)
 
     return parts.mapInArrow(run, schema)
 
 
+def met(shared: DataFrame) -> DataFrame:
+    """``(fp, ph, runs)`` of the lone strings of ``collected``'s rows that another collection of their anchor has too."""
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("ph", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["fp", "b"], "h", 1):
+            h, offsets = _flat(rows["h"], np.int64)
+            at, _ = _flat(rows["at"], np.int64)
+            _, which, often = np.unique(h, return_inverse=True, return_counts=True)
+            found = np.flatnonzero((often[which] > 1) & (at >= 0))
+            runs = np.stack([at[found], at[found] + 1], axis=1).reshape(-1)
+            yield pa.RecordBatch.from_arrays([rows["fp"].combine_chunks(), rows["ph"].combine_chunks(), _list(runs.astype(np.int32), 2 * np.searchsorted(found, offsets), pa.int32())], names=schema.names)
+
+    return shared.repartition("fp", "b").sortWithinPartitions("fp", "b").mapInArrow(run, schema).where("size(runs) > 0")
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, symbol: int = SYMBOL) -> DataFrame:
     """``(key, n_bytes, spans, kept)`` for each row: the maximal runs of bytes ``(start, end)`` that a repeated string of ``window`` bytes covers, and
     the text's other bytes, one after another.
@@ -304,26 +338,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     whole = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
         "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(11), F.col("text"), F.length("text")).alias("k2"))
     long = whole.where(F.octet_length("text") >= window).select("k1", "k2", "text")
-    cut = cut_lineage(piece_table(long, window, gram))
     names = ["fp", "ph", "lo", "len", "anchor"]
-    cut = cut.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), F.first(F.struct(*names)).alias("p")).select("k1", "k2", "m", "p.*")
-    placed = cut.select("k1", "k2", "m", F.explode(F.arrays_zip(*names)).alias("p")).select("k1", "k2", "m", "p.*")
+    cut = piece_table(long, window, gram).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), F.first(F.struct(*names)).alias("p"))
+    cut = cut_lineage(cut.select("k1", "k2", "m", "p.*"))
+    often = cut_lineage(cut.select("m", F.explode("fp").alias("fp")).groupBy("fp").agg(F.sum("m").alias("all")).where("all > 1").select("fp"))
+    placed = cut.select("k1", "k2", "m", F.explode(F.arrays_zip(*names)).alias("p")).select("k1", "k2", "m", "p.*").join(small(often, ANCHORS), "fp", "left_semi")
     classes = cut_lineage(placed.groupBy("fp", "ph").agg(F.sum("m").alias("m"), F.min(F.struct("k1", "k2", "lo", "len", "anchor")).alias("at")))
-    often = classes.groupBy("fp").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("n")).where("all > 1").select("fp", "n")
-    wanted = classes.join(often, "fp").select(
-        "at.k1", "at.k2", F.struct("fp", F.pmod("ph", F.ceil(F.col("n") / GROUP)).alias("s"), "ph", "m", "at.anchor", (F.col("n") > GROUP).alias("hot"), "at.lo", "at.len").alias("p"))
+    sizes = classes.groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("dealt"))
+    wanted = classes.join(sizes, "fp").select(
+        "at.k1", "at.k2", F.struct("fp", F.pmod("ph", "dealt").alias("s"), "ph", "m", "at.anchor", "dealt", "at.lo", "at.len").alias("p"))
     by_text = cut_lineage(wanted.groupBy("k1", "k2").agg(F.collect_list("p").alias("p")))
     texts = long.join(small(by_text.select("k1", "k2"), WANTED), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     parts = texts.join(by_text, ["k1", "k2"]).select(F.encode("text", "UTF-8").alias("b"), F.explode("p").alias("p")).select(
-        "p.fp", "p.s", "p.ph", "p.m", "p.anchor", "p.hot", F.substring("b", F.col("p.lo") + 1, F.col("p.len")).alias("bytes"))
+        "p.fp", "p.s", "p.ph", "p.m", "p.anchor", "p.dealt", F.substring("b", F.col("p.lo") + 1, F.col("p.len")).alias("bytes"))
     found = cut_lineage(collected(parts.repartition("fp", "s").sortWithinPartitions("fp", "s"), window, symbol))
-
-    # Strings alone in their collection, of an anchor dealt over several, are looked for in the others by their hashes.
-    lone = found.where("size(lone) > 0").select("fp", "ph", F.explode(F.arrays_zip("lone", "lone_h")).alias("w")).select("fp", "ph", F.col("w.lone").alias("at"), F.col("w.lone_h").alias("h"))
-    hashes = lone.select("fp", "h").unionByName(found.select("fp", F.explode("other_h").alias("h")))
-    twice = hashes.groupBy("fp", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", "h")
-    met = lone.join(twice, ["fp", "h"], "left_semi").groupBy("fp", "ph").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("runs"))
-    runs = found.where("size(runs) > 0").select("fp", "ph", "runs").unionByName(met)
+    runs = found.where("size(runs) > 0").select("fp", "ph", "runs").unionByName(met(found.where("b is not null").select("fp", "ph", "b", "at", "h")))
     spans = placed.select("k1", "k2", "fp", "ph", "lo").join(runs, ["fp", "ph"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "runs")).alias("runs"))
     return _without(whole.join(spans, ["k1", "k2"], "left").select("id", "text", "runs"), window).withColumnRenamed("id", key)
 

@@ -75,6 +75,7 @@ def test_equals_brute_force(spark, seed):
 def test_an_anchor_dealt_over_collections(spark, monkeypatch):
     """Many texts that share a passage with different surroundings: the anchors at its edges have more pieces than a collection takes."""
     monkeypatch.setattr(repeats, "GROUP", 5)
+    monkeypatch.setattr(repeats, "SHARE", 4)
     rng = random.Random(9)
     word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
     passage, left = word(90), [word(50) for _ in range(7)]
