@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a span that are hashed in blocks next to those of other spans.
+LONG = 256
+#: Masks of the first 0 to 8 bytes of a block.
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,33 +35,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit value for each code point modulo 2^16, so equal sums of different words are as rare as chance has it.
-_VALUES = mix(np.arange(1, 65537, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """The first n powers of base modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, (1 << 20) + 1), base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 1 << 21:
-            _powers[base] = have
-    return have[:n]
-
-
 def spans_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of units (bytes or code points), by one running sum over all of them."""
-    n = len(units)
-    value = _VALUES[units & 0xFFFF] if units.dtype != np.uint8 else _VALUES[units]
-    if units.dtype != np.uint8:
-        value = value + (units >> 16).astype(np.uint64) * _U(0x2545F4914F6CDD1D)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * _power(_BASE, n), out=total[1:])
-    inverse = pow(_BASE, -1, 1 << 64)
-    raw = (total[ends] - total[starts]) * _power(inverse, n + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    """A 64-bit hash of each span of units (bytes or code points), taken in blocks of eight bytes.
+
+    Every block is scrambled into what came before it by steps that are not linear, so no pattern of two
+    strings cancels out, as it does in a sum of powers. Spans over LONG bytes go to a hash function of the standard library.
+    """
+    data = np.ascontiguousarray(units).view(np.uint8)
+    size = (ends - starts) * units.itemsize
+    first = starts * units.itemsize
+    h = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), np.uint64, buffer=padded, strides=(1,))
+    rows = np.flatnonzero((size > 0) & (size <= LONG))
+    step = 0
+    while len(rows):
+        left = size[rows] - step
+        value = blocks[first[rows] + step]
+        value &= _ENDS[np.minimum(left, 8)]
+        value ^= h[rows]
+        value *= _U(0x9FB21C651E98DF25)
+        value ^= value >> _U(32)
+        value *= _U(0xA24BAED4963EE407)
+        value ^= value >> _U(29)
+        h[rows] = value
+        rows, step = rows[left > 8], step + 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(blake2b(data[first[i]:first[i] + size[i]], digest_size=8).digest(), "little")
+    return mix(h)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
