@@ -14,6 +14,8 @@ _RESULT = "struct<tool_call_id: string, content: string>"
 TYPES = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN$",
          "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID$"}
 _TURN = ["conv", "turn"]
+#: Level of a call that waits for itself.
+ENDLESS = 1 << 40
 
 
 def canonical(text: Column) -> Column:
@@ -63,21 +65,32 @@ def _fits(kind: Column, wanted: Column) -> Column:
 
 
 def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(conv, id, level)``: 0 for a call that needs no result, else one more than the highest it needs; none for a call on
-    a cycle or behind one. A round settles every call all of whose needs are settled, so there are as many rounds as the
-    longest chain has calls; each is an aggregate and a join on the call."""
-    waiting = cut_lineage(needs)
-    free = calls.join(waiting.select("conv", "id").distinct(), _same(calls, waiting, "id"), "left_anti")
-    settled = cut_lineage(free.select("conv", "id", F.lit(0).cast("long").alias("level")))
-    newest = settled
-    while not newest.isEmpty():
-        ready = waiting.withColumnRenamed("id", "_call").withColumnRenamed("needed", "id")
-        ready = ready.join(settled, _same(ready, settled, "id"), "left").select(ready["conv"], F.col("_call").alias("id"), "level")
-        done = ready.groupBy("conv", "id").agg(F.max(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level")).where("not open").drop("open")
-        newest = cut_lineage(done)
-        waiting = cut_lineage(waiting.join(newest, _same(waiting, newest, "id"), "left_anti"))
-        settled = settled.unionByName(newest)
-    return settled
+    """``(conv, id, level)``: 0 for a call that needs no result, else one more than the highest it needs; null for a call on
+    a cycle or behind one.
+
+    Every call points at the need that is highest so far, of equal ones at the last in the conversation, and the pointers are doubled: after k rounds one
+    spans 2^k calls, so a chain takes as many rounds as its length has binary digits, whatever else it needs. The lengths are levels that some path has; where a call
+    then has a higher need than the one it pointed at, pointers are set and doubled once more. A path longer than the conversation has calls is on a cycle.
+    """
+    needs = cut_lineage(needs)
+    longest = calls.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    state = cut_lineage(calls.select("conv", "id", F.lit(0).cast("long").alias("level")))
+    while True:
+        below = state.select("conv", F.col("id").alias("needed"), F.col("level").alias("below"))
+        known = needs.join(below, _same(needs, below, "needed")).select(needs["conv"], "id", needs["needed"], "place", "below")
+        best = known.groupBy("conv", "id").agg(F.max(F.struct("below", "place", "needed")).alias("b"))
+        best = cut_lineage(best.join(state, _same(best, state, "id")).select(best["conv"], best["id"], "level", F.col("b.needed").alias("next"), F.col("b.below").alias("below")))
+        if best.where(F.least(F.col("below") + 1, F.lit(ENDLESS)) != F.col("level")).isEmpty():
+            return state.withColumn("level", F.when(F.col("level") < ENDLESS, F.col("level")))
+        endless = F.col("below") == ENDLESS
+        paths = cut_lineage(best.select("conv", "id", F.when(~endless, F.col("next")).alias("next"), F.when(endless, ENDLESS).otherwise(1).cast("long").alias("w")))
+        while not paths.where("next is not null").isEmpty():
+            on = paths.select(F.col("conv").alias("of"), F.col("id").alias("through"), F.col("next").alias("after"), F.col("w").alias("more"))
+            joined = paths.join(on, F.col("conv").eqNullSafe(F.col("of")) & (F.col("next") == F.col("through")), "left").select(
+                "conv", "id", "after", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+            over = F.col("w") > longest
+            paths = cut_lineage(joined.select("conv", "id", F.when(~over, F.col("after")).alias("next"), F.when(over, F.lit(ENDLESS)).otherwise(F.col("w")).cast("long").alias("w")))
+        state = cut_lineage(calls.join(paths, _same(calls, paths, "id"), "left").select(calls["conv"], calls["id"], F.coalesce("w", F.lit(0)).cast("long").alias("level")))
 
 
 def linked(messages: DataFrame, schemas: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -106,11 +119,12 @@ def linked(messages: DataFrame, schemas: DataFrame, conv: str = "conv_id", turn:
     first_call = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct(place.alias("at"), "name")).alias("call"))
     first_result = results.where("id is not null").groupBy("conv", "id").agg(F.min(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62)))).alias("at"))
     refers = calls.where("id is not null").select("conv", "id", "turn", "pos", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("needed"))
-    there = first_call.select("conv", F.col("id").alias("needed"), F.lit(True).alias("there"))
+    there = first_call.select("conv", F.col("id").alias("needed"), F.col("call.at").alias("there"))
     refers = refers.join(there, _same(refers, there, "needed"), "left").select(refers["conv"], "id", "turn", "pos", refers["needed"], "there")
     firsts = first_call.select("conv", "id", "call.at")
-    needs = refers.where("there").join(firsts, _same(refers, firsts, "id")).where(place == F.col("at")).select(refers["conv"], refers["id"], refers["needed"]).distinct()
-    levels = _levels(first_call.select("conv", "id"), needs)
+    needs = refers.where("there is not null").join(firsts, _same(refers, firsts, "id")).where(place == F.col("at")).select(
+        refers["conv"], refers["id"], refers["needed"], F.col("there").alias("place")).distinct()
+    levels = _levels(cut_lineage(first_call.select("conv", "id")), needs)
     lost = refers.where("there is null").groupBy("conv", "id", "turn", "pos").agg(
         F.sort_array(F.collect_set(F.concat(F.lit("no call "), F.col("needed")))).alias("lost"))
 

@@ -69,3 +69,24 @@ def test_quality_query_matches_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     rows, _, problem = compare(spark, connect(sf), "op8_quality_rules", QUERIES["op8_quality_rules"], ORACLES["op8_quality_rules"], sf)
     assert problem is None and rows > 0
+
+
+def test_long_chains_cycles_and_fans_in_few_jobs(spark):
+    """A chain of 1,000 calls, one where each call needs the two before it, a fan, and a cycle behind a chain with calls that wait for it."""
+    say = lambda i, *needs: json.dumps({"tool_calls": [call(i, "g", {"o": {}, "l": [f"${{{n}}}" for n in needs]})]})
+    rows = [(1, k, "assistant", say(f"c{k}", *([f"c{k - 1}"] if k else []))) for k in range(1000)]
+    rows += [(2, k, "assistant", say(f"c{k}", *(f"c{j}" for j in (k - 1, k - 2) if j >= 0))) for k in range(200)]
+    rows += [(3, k, "assistant", say(f"c{k}")) for k in range(200)] + [(3, 200, "assistant", say("top", *(f"c{k}" for k in range(200)))), (3, 201, "assistant", say("over", "top", "c3"))]
+    rows += [(4, k, "assistant", say(f"c{k}", *([f"c{k - 1}"] if k else []))) for k in range(20)]
+    rows += [(4, 20, "assistant", say("p", "c19", "q")), (4, 21, "assistant", say("q", "r")), (4, 22, "assistant", say("r", "p", "c2")), (4, 23, "assistant", say("s", "r", "c1")), (4, 24, "assistant", say("t", "c3"))]
+    rows += [(5, 0, "assistant", say("self", "self"))]
+    spark.sparkContext.setJobGroup("chat", "levels")
+    got = {(r["conv_id"], r["call_id"]): (r["step"], r["status"]) for r in run(spark, rows)}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chat"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [got[1, f"c{k}"][0] for k in range(1000)] == [2 * k for k in range(1000)]
+    assert [got[2, f"c{k}"][0] for k in range(200)] == [2 * k for k in range(200)]
+    assert {got[3, f"c{k}"][0] for k in range(200)} == {0} and got[3, "top"][0] == 2 and got[3, "over"][0] == 4
+    assert [got[4, f"c{k}"][0] for k in range(20)] == [2 * k for k in range(20)] and got[4, "t"] == (8, "unanswered")
+    assert {got[c] for c in [(4, "p"), (4, "q"), (4, "r"), (4, "s"), (5, "self")]} == {(None, "cyclic")}
+    assert jobs < 400
