@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from devicehealth.session import cut_lineage
+from devicehealth.session import cut_lineage, let_go
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -30,6 +30,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "src").select(F.explode(F.array(F.struct("src", F.col("_m").alias("dst")),
                                                                      F.struct(F.col("dst").alias("src"), F.col("_m").alias("dst")))).alias("_e")).select("_e.*")
         links = cut_lineage(small.where("src <> dst").distinct())
+        del both, lowest, large, smallest, small
+        let_go(links.sparkSession)
         before, mark = mark, _mark(links)
         if mark == before:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,6 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask both collectors of the driver to run, so that shuffle files and checkpoints of finished rounds are deleted while an iteration goes on.
+
+    Spark removes them when nothing refers to them any more, which it only learns from a collection; a driver with a large heap may run none for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Broadcast hint for a frame that a count shows to be small; a larger one is left to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
