@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from devicehealth.llm import arrays
 from devicehealth.operators.components import components
-from devicehealth.session import cut_lineage, small
+from devicehealth.session import cut_lineage, let_go, small
 
 WORDS = 5
 #: Bands and bins in a band. A pair of similarity 0.8 misses all bands with a chance below 7e-6, one of 0.85 below 3e-8.
@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         return sets.join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "id", "left").select(
             F.col("id").alias("rep"), (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
 
+    let_go(docs.sparkSession)
     members = cut_lineage(members.join(common_shingles(sets), "rep").join(wanted.select("rep", "met"), "rep").withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
 
     def possible(n, common, n2, common2):
@@ -207,6 +208,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     active = cut_lineage(seen.join(sizes, "bucket"))
     left = sets.join(active.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     active = cut_lineage(active.drop("common").join(common_shingles(left), "rep"))
+    del seen, sizes, left, tried, checked, members, texts
+    let_go(docs.sparkSession)
     low, high, most = 0, 4, active.agg(F.max("m")).first()[0] or 0
     while low < most:
         known = unsettled(active)
@@ -221,6 +224,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             links = links.unionByName(new)
             labels = named(links)
         active = known.drop("component", "first").where(F.col("u") * F.col("m") >= high)
+        del known, centres, pairs, new
+        let_go(docs.sparkSession)
         if active.isEmpty():
             break
         low, high = high, high * 4
