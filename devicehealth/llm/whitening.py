@@ -24,8 +24,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS, ZERO = 16, 1e-8
 #: Size of a new vector, against what it was made from, that is taken for rounding.
 NOISE = 2e-13
-#: Values of a block of rows that is worked on at once.
-BLOCK = 1 << 18
+#: Values of a block of rows that is worked on at once, and rows of the fit for each task of a pass.
+BLOCK, TASK_ROWS = 1 << 18, 16_384
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -84,15 +84,15 @@ def bidiagonal(product, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarr
             beta = 0.0
         w = v - beta * weights[-1] if right and beta else v.copy()
         square, z = product(w)
-        # Against the left vectors before it, twice; the second pass is measured again.
+        # Against the left vectors before it, twice; where much of the product goes with them, what is left is measured again.
         for again in range(2):
             if weights:
                 along = np.array([a @ z for a in weights])
-                w = w - along @ np.array(weights)
-                if again:
-                    z = z - along @ np.array(products)
-                else:
+                w, z, part = w - along @ np.array(weights), z - along @ np.array(products), float(along @ along)
+                if part > 1e-6 * square and not again:
                     square, z = product(w)
+                else:
+                    square -= part
         alpha, reach = np.sqrt(max(square, 0.0)), float(np.linalg.norm(w))
         largest = max(largest, beta, alpha / reach) if reach else largest
         right.append(v)
@@ -137,6 +137,8 @@ def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     fit = cut_lineage(rows.select("x").distinct())
     n, *sums = fit.agg(F.count(F.lit(1)), *(F.sum(F.col("x")[i].cast("decimal(38,0)")) for i in range(width))).first()
     sums = [int(s) for s in sums]
+    # Every pass is a short job, so a fit of few rows in many partitions is drawn together.
+    fit = fit.coalesce(n // TASK_ROWS + 1)
     # Centres are taken from the shift on, so that no digits are lost to it.
     centre = np.array([float(Decimal(s - n * SHIFT) / n) for s in sums])
 
