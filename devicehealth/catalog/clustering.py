@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from devicehealth.catalog.aggregates import rounded
 from devicehealth.catalog.registry import query
 from devicehealth.catalog.tables import SCALED_USERS_SQL, USER_METRICS, USERS_SQL, fleet, table, users
-from devicehealth.operators import cluster, evaluate, geometry
+from devicehealth.operators import cluster, evaluate, geometry, hierarchy
 from devicehealth.operators.models import standardise
 from devicehealth.operators.ordering import ordered_position
 from devicehealth.plans import fleet as fleet_plan
@@ -123,6 +123,24 @@ def c4(spark, sf):
     return cluster.divisive(scaled_users(spark, sf), USER_METRICS, 4)
 
 
+# The cheapest pair of all is merged again and again; a cluster carries its size, centre and members.
+WARD_SQL = f"""with recursive {SCALED_USERS_SQL},
+    merging as (
+      select count(*) as k, list({{'i': user_id, 'n': 1::double, 'v': [{', '.join(USER_METRICS)}], 'm': [user_id]}} order by user_id) as cs from scaled
+      union all
+      select k - 1, list_append(list_filter(cs, lambda c: c.i <> p.a.i and c.i <> p.b.i), {{'i': p.a.i, 'n': p.a.n + p.b.n,
+        'v': list_transform(list_zip(p.a.v, p.b.v), lambda z: (p.a.n * z[1] + p.b.n * z[2]) / (p.a.n + p.b.n)), 'm': list_concat(p.a.m, p.b.m)}})
+      from (select k, cs, (select arg_min({{'a': x.c, 'b': y.c}}, x.c.n * y.c.n / (x.c.n + y.c.n) * list_distance(x.c.v, y.c.v) ** 2)
+          from (select unnest(cs) as c) x, (select unnest(cs) as c) y where x.c.i < y.c.i) as p from merging where k > 4)),
+    found as (select unnest(cs) as c from merging where k = 4),
+    numbered as (select cast(row_number() over (order by c.i) - 1 as integer) as cluster, c.m as m from found)"""
+
+
+@query("c4_ward", sql=f"{WARD_SQL} select unnest(m) as user_id, cluster from numbered")
+def c4_ward(spark, sf):
+    return hierarchy.ward(scaled_users(spark, sf), "user_id", USER_METRICS, 4).select("user_id", "cluster")
+
+
 @query("c5_gaussian_mixture")
 def c5(spark, sf):
     labelled, bic = cluster.gaussian_mixture(scaled_users(spark, sf), USER_METRICS, 4)
@@ -135,6 +153,7 @@ def c9(spark, sf):
     methods = {
         "K-Means (k=4)": cluster.kmeans(scaled, USER_METRICS, 4)[0],
         "Divisive": cluster.divisive(scaled, USER_METRICS, 4),
+        "Ward": hierarchy.ward(scaled, "user_id", USER_METRICS, 4),
         "GMM": cluster.gaussian_mixture(scaled, USER_METRICS, 4)[0],
     }
     return cluster.compare_methods(USER_METRICS, methods)
