@@ -60,10 +60,10 @@ def test_groups_with_small_blocks(spark):
     assert result(near_vectors(df, block=64)) == brute(rows)
 
 
-def test_query(spark, tmp_path):
-    t = pq.read_table("/root/testdata/check_s/embeddings.parquet")
+def test_query(spark):
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
     rows = list(zip(t["vec_id"].to_pylist(), t["label"].to_pylist(), t["embedding"].to_pylist()))
-    assert result(op1_embedding_near_dedup(spark, "/root/testdata/check_s")) == brute(rows)
+    assert result(op1_embedding_near_dedup(spark, "/root/testdata/sf0.01")) == brute(rows)
 
 
 def test_odd_rows(spark):
