@@ -152,7 +152,7 @@ def j8(spark, sf):
     with articles as (select case when lang in ('en', 'de') then 'windows' else 'mac' end as platform, concat('doc', cast(doc_id as varchar)) as metric,
         regexp_replace(regexp_replace(replace(replace(text, '*', ''), '_', ''), '(^|\\n)[-#]', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') as body from documents),
     requests as (select o_orderkey, case when o_orderstatus = 'F' then 'windows' else 'mac' end as platform,
-        concat('doc', cast(o_custkey % 1500 as varchar)) as metric from orders)
+        concat('doc', cast(o_custkey as varchar)) as metric from orders)
     select o_orderkey, platform, metric, coalesce(body, '*No self-help article found for this issue yet.*'
         || chr(10) || chr(10) || 'Please contact IT directly and mention: `' || metric || '`') as article
     from requests left join articles using (platform, metric)""")
@@ -163,7 +163,7 @@ def j9(spark, sf):
         F.when(F.col("lang").isin("en", "de"), "windows").otherwise("mac").alias("platform"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("metric"), unmarked.alias("body"))
     requests = table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "F", "windows").otherwise("mac").alias("platform"),
-        F.concat(F.lit("doc"), (F.col("o_custkey") % 1500).cast("string")).alias("metric"))
+        F.concat(F.lit("doc"), F.col("o_custkey").cast("string")).alias("metric"))
     return alerts.find_articles(requests, articles).select("o_orderkey", "platform", "metric", "article")
 
 

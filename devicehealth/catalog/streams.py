@@ -10,6 +10,7 @@ from devicehealth.schema import ALERT_METRICS, DISPLAY_THRESHOLDS
 from devicehealth.session import scratch_path
 from devicehealth.sources.side_tables import write_thresholds
 from devicehealth.streaming import alerts as sa
+from devicehealth.streaming.daily import daily_alerts
 from devicehealth.streaming.recent import messages_with_latest_alert
 
 ARRIVING = ["reading_id", "auth_username", "model_name", *[m[0] for m in ALERT_METRICS]]
@@ -84,3 +85,25 @@ def r4(spark, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     sa.opt_out_stream(stream, log, scratch_path(spark, "checkpoint")).awaitTermination()
     return sa.current_opt_outs(spark, log)
+
+
+@query("r1_daily_alerts", sql="select distinct user_id, cast(ts as date) as day from events where event_type = 'error'")
+def r1_daily(spark, sf):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("errors", "daily", "checkpoint"))
+    errors = table(spark, sf, "events").where("event_type = 'error'").select("user_id", "ts")
+    turn = errors.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    half = {True: errors.where(F.col("ts") < F.lit(turn)), False: errors.where(F.col("ts") >= F.lit(turn))}
+
+    def run():
+        stream = spark.readStream.schema(errors.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        daily_alerts(stream, "user_id").select("user_id", "day").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+
+    # The earlier half, once more the same, a restart, then the later half and a part of it again.
+    for rows in (half[True], half[True]):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    for rows in (half[False], half[False].where("user_id % 2 = 0")):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    return spark.read.parquet(out)
