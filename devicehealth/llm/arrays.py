@@ -41,9 +41,9 @@ def spans_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     Every block is scrambled into what came before it by steps that are not linear, so no pattern of two
     strings cancels out, as it does in a sum of powers. Spans over LONG bytes go to a hash function of the standard library.
     """
-    data = np.ascontiguousarray(units).view(np.uint8)
-    size = (ends - starts) * units.itemsize
-    first = starts * units.itemsize
+    # Bytes and code points of the same letters have the same hash.
+    data = np.ascontiguousarray(units, np.uint32).view(np.uint8)
+    size, first = (ends - starts) * 4, starts * 4
     h = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1))
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = data
