@@ -133,28 +133,6 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", order: int =
             part = part.sort_values(column)
             to[names.index(name)][k] = part[column].to_numpy(np.uint64), part["bits"].to_numpy(float)
     return Model(names, order, entries, escapes)
-    masks = [(1 << 8 * (k + 1)) - 1 for k in range(order + 1)]
-    orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m)).alias("code")) for k, m in enumerate(masks))))
-    nodes = found.select("label", orders.alias("g"), "n").groupBy("label", "g.k", "g.code").agg(F.sum("n").alias("n"))
-    # At most 256 bytes follow a context, so its list is short.
-    contexts = nodes.groupBy("label", "k", F.shiftrightunsigned("code", 8).alias("context")).agg(
-        F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"), F.sort_array(F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n"))).alias("seen"))
-    least = F.create_map(*(F.lit(x) for name in names for x in (name, max(2.0, share * totals[name]))))[F.col("label")]
-    rows = contexts.withColumn("least", least).where((F.col("t") >= F.col("least")) | (F.col("k") == 0)).select(
-        "label", "k", "context", "t", "d", F.filter("seen", lambda s: s["n"] >= F.col("least")).alias("held")).toPandas()
-    for (name, k), part in rows.groupby(["label", "k"]):
-        j = names.index(name)
-        part = part.sort_values("context")
-        context = part["context"].to_numpy(np.uint64)
-        whole = part["t"].to_numpy(float) + part["d"].to_numpy(float)
-        kept = np.array([sum(s["n"] for s in held) for held in part["held"]], float)
-        escapes[j][k] = context, -np.log2((whole - kept) / whole)
-        sizes = [len(held) for held in part["held"]]
-        code = np.repeat(context << np.uint64(8), sizes) | np.array([s["byte"] for held in part["held"] for s in held], np.uint64)
-        cost = -np.log2(np.array([s["n"] for held in part["held"] for s in held], float) / np.repeat(whole, sizes))
-        at = np.argsort(code)
-        entries[j][k] = code[at], cost[at]
-    return Model(names, order, entries, escapes)
 
 
 class _Costs:

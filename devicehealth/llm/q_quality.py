@@ -21,15 +21,16 @@ counts as (select d.rn, d.doc_id, d.source, len(t.w) as n_words, list_sum(list_t
   from docs d join tok t using (rn) left join linecounts l using (rn) left join covered c using (rn)),
 feats as (select rn, doc_id, source, n_words, coalesce(wc, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines from counts),
 flags as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  (100 * n_repeat_words > 20 * n_words)::int + 2 * (10 * n_symbols > n_words)::int + (10 * n_dup_lines > 3 * n_lines)::int + (word_chars < 2 * n_words or word_chars > 25 * n_words)::int as failures from feats),
+  (100 * n_repeat_words > 20 * n_words)::int + (10 * n_symbols > n_words)::int + (10 * n_dup_lines > 3 * n_lines)::int + (word_chars < 2 * n_words or word_chars > 25 * n_words)::int as failures from feats),
 hosts as (select source as host, count(*)::double as docs, sum((base_failed or failures > 0)::int)::double as failed from flags group by source),
 pooled as (select sum(docs) as n, sum(failed) as k, count(*) as h, sum(failed * failed / docs) as q, sum(docs * docs) as nn, (sum(failed) + 1) / (sum(docs) + 2) as m from hosts),
 spread as (select *, case when h > 1 and n - nn / n > 0 then greatest(0, (q - k * k / n - (h - 1) * m * (1 - m)) / (n - nn / n)) else 0 end as v from pooled),
 prior as (select m, case when v > 0 then least(1e6, greatest(2.0, m * (1 - m) / v - 1)) else 1e6 end as s from spread),
-bad as (select host from hosts, prior where (failed + m * s) / (docs + s) > 0.5)
+rates as (select host, m, (failed + m * s) / (docs + s) as rate from hosts, prior),
+trusted as (select host, (2.0::double * rate <= m)::int + (4.0::double * rate <= m)::int as granted from rates)
 select f.doc_id, f.n_words::bigint as n_words, f.word_chars::bigint as word_chars, f.n_symbols::bigint as n_symbols, f.n_dup_lines::bigint as n_dup_lines,
-  f.n_repeat_words::bigint as n_repeat_words, f.base_failed, not f.base_failed and f.failures <= (case when b.host_found then 0 else 1 end) as kept
-from flags f left join (select host, true as host_found from bad) b on f.source is not distinct from b.host
+  f.n_repeat_words::bigint as n_repeat_words, f.base_failed, not f.base_failed and f.failures <= t.granted as kept
+from flags f join trusted t on f.source is not distinct from t.host
 """
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from devicehealth.llm import arrays
-from devicehealth.session import small
+from devicehealth.session import cut_lineage, small
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _SYMBOL = np.zeros(256, bool)
@@ -29,8 +29,9 @@ RULES = {
 }
 #: Rules that a document may not fail on any host.
 BASE = ["short", "repeats"]
-#: Rules that count as two failures: prose does not fail them.
-HEAVY = ["symbols"]
+#: A host is granted as many failures of other rules as times its shrunk rate, doubled again and again, stays within the pooled
+#: rate; at most so many.
+GRANTED = 2
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -102,13 +103,13 @@ def _failure(rule: str) -> F.Column:
 
 
 def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
-    """``(host, docs, failed, rate)``: the share of documents failing a rule, shrunk towards the share of all hosts.
+    """``(host, docs, failed, rate, pooled)``: the share of documents failing a rule, shrunk towards the share of all hosts.
 
     The beta prior is fitted to all hosts by moments: its mean is the pooled share, its strength what the spread
     between hosts leaves beyond chance. A host with few documents stays near the pooled share. The null host is a host.
     """
     any_rule = F.greatest(*(_failure(r).cast("int") for r in RULES))
-    hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(any_rule).alias("failed"))
+    hosts = cut_lineage(counted.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(any_rule).alias("failed")))
     pooled = hosts.agg(F.sum("docs").alias("n"), F.sum("failed").alias("k"), F.count(F.lit(1)).alias("h"),
                        F.sum(F.col("failed") * F.col("failed") / F.col("docs")).alias("q"), F.sum(F.col("docs") * F.col("docs")).alias("nn")).first()
     n, k, h = pooled["n"] or 0, pooled["k"] or 0, pooled["h"]
@@ -120,28 +121,29 @@ def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
         spare = n - float(pooled["nn"]) / n
         spread = max(0.0, (between - (h - 1) * mean * (1 - mean)) / spare) if spare > 0 else 0.0
     strength = min(1e6, max(2.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * strength)) / (F.col("docs") + F.lit(strength)))
+    return hosts.withColumns({"rate": (F.col("failed") + F.lit(mean * strength)) / (F.col("docs") + F.lit(strength)), "pooled": F.lit(mean)})
 
 
-def judged(docs: DataFrame, host: str = "source", text: str = "text", bad_rate: float = 0.5, drop_text: bool = False) -> DataFrame:
-    """Documents with the counts, ``base_failed``, ``failures``, ``host_rate`` (bad hosts only) and ``kept``, all behind ``OWN``.
+def judged(docs: DataFrame, host: str = "source", text: str = "text", drop_text: bool = False) -> DataFrame:
+    """Documents with the counts, ``base_failed``, ``failures``, ``granted`` and ``kept``, all behind ``OWN``.
 
-    A document goes if it fails a base rule, or two other rules (a heavy one counts as two), or one other rule on a host
-    whose shrunk failure rate is above ``bad_rate``. A document that fails no rule stays whatever its host. Null text: no words, so it fails the
-    length rule. Null host: one host of its own. Repeated rows: each is judged, and counts in its host's rate. No rows:
-    no rows. Other columns pass through.
-    The counts are made twice, once for the hosts and once for the rows, so no text is shuffled or stored.
+    A document goes if it fails a base rule, or more other rules than its host is granted: none on a host whose shrunk
+    failure rate is above half of the pooled rate, one on a host within the half, two within the quarter (``GRANTED``).
+    A document that fails no rule stays whatever its host. Null text: no words, so it fails the length rule. Null host:
+    one host of its own. Repeated rows: each is judged, and counts in its host's rate. No rows: no rows. Other columns pass through.
+    The counts are made twice, once for the hosts, whose few rows are checkpointed, and once for the rows, so no text is shuffled or stored.
     """
     hosts = host_rates(with_counts(docs.select(F.col(host).alias(host), F.col(text).alias(text)), text, drop_text=True), host)
-    bad = hosts.where(F.col("rate") > bad_rate).select(F.col("host").alias(f"{OWN}host"), F.col("rate").alias(f"{OWN}host_rate"))
-    other = sum((_failure(r).cast("int") * (2 if r in HEAVY else 1) for r in RULES if r not in BASE), F.lit(0))
+    grant = sum(((F.col("rate") * F.lit(float(2 << k)) <= F.col("pooled")).cast("int") for k in range(GRANTED)), F.lit(0))
+    trusted = hosts.withColumn(f"{OWN}granted", grant).where(f"{OWN}granted > 0").select(F.col("host").alias(f"{OWN}host"), f"{OWN}granted")
+    other = sum((_failure(r).cast("int") for r in RULES if r not in BASE), F.lit(0))
     base = F.lit(False)
     for r in BASE:
         base = base | _failure(r)
     counted = with_counts(docs, text, drop_text).withColumns({f"{OWN}base_failed": base, f"{OWN}failures": other})
-    joined = counted.join(small(bad), counted[host].eqNullSafe(F.col(f"{OWN}host")), "left").drop(f"{OWN}host")
-    allowed = F.when(F.col(f"{OWN}host_rate").isNull(), F.lit(1)).otherwise(F.lit(0))
-    return joined.withColumn(f"{OWN}kept", ~F.col(f"{OWN}base_failed") & (F.col(f"{OWN}failures") <= allowed))
+    joined = counted.join(small(trusted), counted[host].eqNullSafe(F.col(f"{OWN}host")), "left").drop(f"{OWN}host")
+    return joined.withColumn(f"{OWN}granted", F.coalesce(f"{OWN}granted", F.lit(0))).withColumn(
+        f"{OWN}kept", ~F.col(f"{OWN}base_failed") & (F.col(f"{OWN}failures") <= F.col(f"{OWN}granted")))
 
 
 def quality_filter(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 from devicehealth.llm.q_quality import op8_quality_rules
-from devicehealth.llm.quality import OWN, host_rates, judged, quality_filter, with_counts
+from devicehealth.llm.quality import GRANTED, OWN, host_rates, judged, quality_filter, with_counts
 
 
 def counts(text):
@@ -48,15 +48,46 @@ def text(i, lines=False, symbols=False):
     return " ".join(f"w{i}q{k}{'#' if symbols and k % 3 == 0 else ''}" for k in range(60))
 
 
-def test_verdict_of_a_host_reaches_failing_documents_only(spark):
+def verdicts(rows):
+    """Ids kept, rates and grants, in plain Python."""
+    def failed(t):
+        n, chars, signs, dup, rep, lines = counts(t)
+        base = [n < 50, 100 * rep > 50 * n]
+        return base, [100 * rep > 20 * n, 10 * signs > n, 10 * dup > 3 * lines, chars < 2 * n or chars > 25 * n]
+
+    hosts = {}
+    for _, t, h in rows:
+        docs, bad = hosts.get(h, (0, 0))
+        hosts[h] = docs + 1, bad + any(map(any, failed(t)))
+    n, k = sum(d for d, _ in hosts.values()), sum(b for _, b in hosts.values())
+    m = (k + 1) / (n + 2)
+    spare = n - sum(d * d for d, _ in hosts.values()) / n
+    v = max(0.0, (sum(b * b / d for d, b in hosts.values()) - k * k / n - (len(hosts) - 1) * m * (1 - m)) / spare) if len(hosts) > 1 else 0.0
+    s = min(1e6, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
+    rates = {h: (b + m * s) / (d + s) for h, (d, b) in hosts.items()}
+    granted = {h: 2 if 4 * r <= m else 1 if 2 * r <= m else 0 for h, r in rates.items()}
+    return {i for i, t, h in rows if not any(failed(t)[0]) and sum(failed(t)[1]) <= granted[h]}, rates, granted
+
+
+def test_verdict_of_a_host_by_degrees(spark):
     rows = [(i, text(i, lines=i < 45), "bad") for i in range(50)] + [(100 + i, text(i, lines=i == 0, symbols=i == 1), "good") for i in range(50)] + [
-        (200 + i, text(i), f"h{i}") for i in range(100)] + [(300, text(300, lines=True), "h0"), (301, text(301, lines=True), None), (302, None, "h1")]
+        (200 + i, text(i), f"h{i}") for i in range(100)] + [(300, text(300, lines=True), "h0"), (301, text(301, lines=True), None), (302, None, "h1")] + [
+        (1000 + i, text(i) if i else text(i, lines=True).replace("x", "x#$"), "best") for i in range(400)] + [(2000 + i, text(i, symbols=i < 20), "fair") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, want_rates, granted = verdicts(rows)
     kept = {r.doc_id for r in quality_filter(docs).collect()}
+    assert kept == want
+    assert granted["bad"] == granted["fair"] == 0 and granted["best"] == 2 and {granted[h] for h in granted} >= {0, 2}
     assert not kept & set(range(45)) and set(range(45, 50)) <= kept  # the clean ones of the bad host stay
-    assert 100 in kept and 301 in kept and 302 not in kept and 101 not in kept
+    assert 1000 in kept and not kept & set(range(2000, 2020))  # one failure decides on a fair host, two are granted on the best
     rates = {r.host: r.rate for r in host_rates(with_counts(docs)).collect()}
-    assert rates["bad"] > 0.8 and 0.0 < rates["h5"] < 0.5  # one clean document does not make a rate of 0
+    assert all(abs(rates[h] - want_rates[h]) < 1e-9 for h in want_rates) and 0.0 < rates["h5"]  # one clean document does not make a rate of 0
+
+
+def test_hosts_decide_documents_of_the_shared_tables(spark):
+    found = judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), drop_text=True)
+    row = found.selectExpr(f"count_if(not {OWN}base_failed and {OWN}failures between 1 and {GRANTED} and {OWN}kept = ({OWN}granted >= {OWN}failures)) as decided", "count(*) as n").first()
+    assert 0.02 * row.n < row.decided < 0.2 * row.n
 
 
 def test_no_rows(spark):
