@@ -18,8 +18,11 @@ CLASSES = {
     "base64": (r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85),
 }
 WINDOW = 20
-#: A string that one of these finds is no secret: words, numbers, paths of words, alphabets, placeholders.
-ALLOW = [r"^[A-Za-z_=-]+$", r"^[0-9]+$", r"^[A-Za-z_-]*(/[A-Za-z_-]*)+$", r"(?i:example|placeholder|changeme)", r"(?i:abcdefghij)", r"0123456789"]
+#: What one of these finds is no secret: words, numbers, paths of words, alphabets, placeholders. An entry that begins with ``^``
+#: frees a whole stretch; another one the part between separators that it lies in.
+ALLOW = [r"^[A-Za-z_=-]+$", r"^[0-9]+$", r"^[A-Za-z_-]*/[A-Za-z_/-]*$", r"(?i:example|placeholder|changeme)", r"(?i:abcdefghij)", r"0123456789"]
+#: A long string is measured in pieces that begin so many characters apart and overlap by a window.
+PIECE = 256
 #: Terms of the entropy are held as whole millionths, so that counts going in and out cancel exactly.
 _SCALE = 1_000_000
 
@@ -73,11 +76,21 @@ def _place(alphabet: Column, value: Column, i: Column) -> Column:
 
 
 def hot_stretch(value: Column, alphabet: str, bits: float) -> Column:
-    """``struct<first, last>``: from the first to the last window of the string whose entropy reaches ``bits``, as offsets.
+    """``struct<first, last>``: from the first to the last window of the string whose entropy reaches ``bits``, as offsets; -1 if none does.
 
-    The window moves by one character: the counts of the one that comes in and the one that goes out change, and the
-    sum of c log c by their terms alone.
+    Every window begins in one piece of ``PIECE`` characters and ends in it or in the next ones that the piece is given too, so
+    the time grows with the length of the string alone.
     """
+    pieces = F.regexp_extract_all(value, F.lit(f"(?=(.{{1,{PIECE + WINDOW - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    each = F.transform(pieces, lambda p, k: _let(_hot_piece(p, alphabet, bits), lambda h: F.struct(
+        (h["first"] + k * PIECE).alias("first"), (h["last"] + k * PIECE).alias("last"), (h["last"] > 0).alias("hot"))))
+    return _let(F.filter(each, lambda h: h["hot"]), lambda found: F.struct(
+        F.coalesce(F.array_min(found["first"]), F.lit(-1)).alias("first"), F.coalesce(F.array_max(found["last"]), F.lit(-1)).alias("last")))
+
+
+def _hot_piece(value: Column, alphabet: str, bits: float) -> Column:
+    """The same of one piece. The window moves by one character: the counts of the one that comes in and the one that goes out
+    change, and the sum of c log c by their terms alone."""
     most = math.floor(_SCALE * WINDOW * (math.log2(WINDOW) - bits))
     term = F.array(*(F.lit(t).cast("long") for t in _terms()))
     letters = F.lit(alphabet)
@@ -133,22 +146,14 @@ def _stretches(m: Column, base: Column, marks: list[str]) -> Column:
     return _let(cuts, lambda c: F.when(F.size(c) == 0, F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))).otherwise(left(c)))
 
 
-def entropy_spans(text: Column, base: Column, allow: list[str] | None = None, rest: bool = False) -> Column:
-    """Stretches of high entropy in long strings, without those that the allow list finds or that touch a base span.
-
-    ``rest``: what stands beside a base span in a long string is measured too, and an entry of the allow list that does not
-    begin with ``^`` frees only the part between separators that it finds.
-    """
+def entropy_spans(text: Column, base: Column, allow: list[str] | None = None) -> Column:
+    """Stretches of high entropy in long strings, in what base spans and the allow list leave of them."""
     allowed = ALLOW if allow is None else allow
-    found = matches(text, CLASSES["base64"][0])
-    if rest:
-        marks = [a for a in allowed if not a.startswith("^")]
-        allowed = [a for a in allowed if a.startswith("^")]
-        found = F.flatten(F.transform(found, lambda m: _stretches(m, base, marks)))
-    if allowed:
-        found = F.filter(found, lambda m: ~m["value"].rlike("|".join(f"(?:{a})" for a in allowed)))
-    if not rest:
-        found = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    marks = [a for a in allowed if not a.startswith("^")]
+    whole = [a for a in allowed if a.startswith("^")]
+    found = F.flatten(F.transform(matches(text, CLASSES["base64"][0]), lambda m: _stretches(m, base, marks)))
+    if whole:
+        found = F.filter(found, lambda m: ~m["value"].rlike("|".join(f"(?:{a})" for a in whole)))
     as_hex = f"^{CLASSES['hex'][0]}$"
 
     def measured(m: Column) -> Column:
@@ -166,7 +171,7 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None, rest: bool = False) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None) -> DataFrame:
     """Documents with ``__dh_base`` by kind and ``__dh_added``: spans as ``array<struct<start, kind, end>>``.
 
     Null text counts as empty: no spans. Repeated rows are each scanned; no key is needed. A text is scanned whole, in
@@ -175,13 +180,11 @@ def scanned(docs: DataFrame, text: str = "text", allow: list[str] | None = None,
     whole = docs.withColumn("__dh_whole", F.coalesce(F.col(text), F.lit("")))
     base = base_spans(F.col("__dh_whole"))
     found = whole.withColumns({f"__dh_{k}": v for k, v in base.items()}).withColumn("__dh_base", F.concat(*(F.col(f"__dh_{k}") for k in base)))
-    return found.withColumn("__dh_added", entropy_spans(F.col("__dh_whole"), F.col("__dh_base"), allow, rest))
+    return found.withColumn("__dh_added", entropy_spans(F.col("__dh_whole"), F.col("__dh_base"), allow))
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow: list[str] | None = None) -> DataFrame:
-    """The same rows and columns, each secret of ``text`` replaced by the mask; touching or overlapping spans by one. Null stays null.
-
-    What stands beside a base span or a placeholder in a long string is measured too (``rest``)."""
+    """The same rows and columns, each secret of ``text`` replaced by the mask; touching or overlapping spans by one. Null stays null."""
     spans = F.array_sort(F.concat("__dh_base", "__dh_added"))
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
@@ -197,5 +200,5 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow:
         return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(F.col("__dh_whole"), a + 1, b - a)), mask)
 
     clean = F.when(F.col(text).isNull() | (F.size(spans) == 0), F.col(text)).otherwise(_let(F.aggregate(spans, none, joined), cut))
-    return scanned(docs, text, allow, rest=True).withColumn("__dh_clean", clean).select(
+    return scanned(docs, text, allow).withColumn("__dh_clean", clean).select(
         *(F.col("__dh_clean").alias(c) if c == text else F.col(c) for c in docs.columns))
