@@ -139,10 +139,12 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """The rows with ``decoded_text``, the decoding of their ids; null ids give a null, no ids an empty text."""
+    """The rows with ``decoded_text``, the decoding of their ids; null ids give a null, no ids an empty text. A column of that name is replaced."""
     shared = encoded.sparkSession.sparkContext.broadcast(file_text(tokenizer))
+    kept = [c for c in encoded.columns if c.lower() != "decoded_text"]
+    encoded = encoded.select(*kept)
     schema = T.StructType([*encoded.schema, T.StructField("decoded_text", T.StringType())])
-    at = encoded.columns.index(ids)
+    at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(shared.value).tokens

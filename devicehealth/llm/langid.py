@@ -163,14 +163,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     the likelihood, each language as likely beforehand.
 
     A text that is null or has no letter, and any text if nothing was learned: ``und``, score 0. Ties: the first language
-    in order of name. Repeated rows are scored alike. No rows: no rows. Other columns pass through. A very long text is
-    scored whole.
+    in order of name. Repeated rows are scored alike. No rows: no rows. Other columns pass through, but
+    for those named ``lang_pred`` or ``score``, which are replaced. A very long text is scored whole.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     clear = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("__dh_text", F.when(clear, F.col(text)))
-    schema = T.StructType([*docs.schema, T.StructField("__dh_pred", T.StringType()), T.StructField("__dh_score", T.DoubleType())])
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(*kept, F.when(clear, F.col(text)).alias("__dh_text"))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("__dh_pred", T.StringType()), T.StructField("__dh_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

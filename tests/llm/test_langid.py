@@ -64,3 +64,11 @@ def test_odd_rows(spark):
     nothing = langid.train(learn.where("false"))
     assert [r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), nothing).collect()] == ["und"]
     assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    model = langid.train(spark.createDataFrame([("the cat sat on the mat " * 20, "en"), ("der hund ist in dem haus " * 20, "de")], "text string, lang string"))
+    docs = spark.createDataFrame([(1, "x", "dem hund", 7)], "doc_id long, lang_pred string, text string, Score long")
+    found = langid.predict(docs, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert [(r.doc_id, r.lang_pred, 0.5 < r.score <= 1) for r in found.collect()] == [(1, "de", True)]

@@ -70,6 +70,8 @@ def test_encoding_of_odd_texts(spark):
         ids = tk.encode("same" if r.doc_id is None else ODD[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids
         assert r.decoded == r.decoded_text == tk.decode(ids, skip_special_tokens=False)
+    again = decode(decode(encode(odd(spark), WORD), WORD), WORD)
+    assert again.columns.count("decoded_text") == 1 and again.where("not decoded <=> decoded_text").count() == 0
 
 
 def test_automaton_is_minimal_and_maps_words(tmp_path):
