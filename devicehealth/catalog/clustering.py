@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from devicehealth.catalog.aggregates import rounded
 from devicehealth.catalog.registry import query
 from devicehealth.catalog.tables import SCALED_USERS_SQL, USER_METRICS, USERS_SQL, fleet, table, users
-from devicehealth.operators import cluster, evaluate, geometry, hierarchy
+from devicehealth.operators import cluster, density, evaluate, geometry, hierarchy
 from devicehealth.operators.models import standardise
 from devicehealth.operators.ordering import ordered_position
 from devicehealth.plans import fleet as fleet_plan
@@ -70,13 +70,9 @@ def m3(spark, sf):
     return rounded(scaled_users(spark, sf))
 
 
-DBSCAN_METRICS = ["click", "error", "view"]
-NEAR = " + ".join(f"(a.{m} - b.{m}) ** 2" for m in DBSCAN_METRICS)
-
-
-@query("c3_dbscan", sql=f"""with recursive {USERS_SQL}, p as (select user_id, {', '.join(DBSCAN_METRICS)} from users where {' and '.join(f'{m} is not null' for m in USER_METRICS)}),
-    pairs as (select a.user_id as i, b.user_id as j from p a join p b on sqrt({NEAR}) <= 8),
-    core as (select i from pairs group by i having count(*) >= 8),
+@query("c3_dbscan", sql=f"""with recursive {SCALED_USERS_SQL}, p as (select * from scaled),
+    pairs as (select a.user_id as i, b.user_id as j from p a join p b on sqrt({APART}) <= 1.5),
+    core as (select i from pairs group by i having count(*) >= 10),
     ce as (select i, j from pairs where i in (select i from core) and j in (select i from core)),
     reach as (select i, i as j from core union select r.i, ce.j from reach r join ce on r.j = ce.i),
     comp as (select i, min(j) as c from reach group by i),
@@ -85,7 +81,7 @@ NEAR = " + ".join(f"(a.{m} - b.{m}) ** 2" for m in DBSCAN_METRICS)
     select p.user_id, cast(coalesce(n, -1) as bigint) as cluster, p.user_id in (select i from core) as is_core from p
       left join (select * from comp union all select * from border) x on p.user_id = x.i left join numbered using (c)""")
 def c3(spark, sf):
-    return geometry.dbscan(known_users(spark, sf), "user_id", DBSCAN_METRICS, eps=8.0, min_rows=8)
+    return density.dbscan(scaled_users(spark, sf), "user_id", USER_METRICS)
 
 
 @query("c10_worst_cluster", sql=f"""with {USERS_SQL}, p as (select user_id, error, {GROUPED} as cluster from users where {' and '.join(f'{m} is not null' for m in USER_METRICS)}),

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from devicehealth.operators import cluster, components as cc, evaluate, explain, geometry, models, ordering, quantiles as qt
+from devicehealth.operators import cluster, components as cc, density, evaluate, explain, geometry, models, ordering, quantiles as qt
 
 
 def skewed(n, seed=3):
@@ -113,11 +113,23 @@ def brute_dbscan(pdf, eps, k):
 def test_dbscan_equals_brute_force(spark, block_rows):
     pdf = blobs()
     want, core = brute_dbscan(pdf, 0.8, 6)
-    got = geometry.dbscan(spark.createDataFrame(pdf), "id", ["a", "b", "c"], 0.8, 6, block_rows).toPandas().sort_values("id")
+    got = density.dbscan(spark.createDataFrame(pdf), "id", ["a", "b", "c"], 0.8, 6, block_rows).toPandas().sort_values("id")
     assert (got["cluster"].to_numpy() == want).all() and (got["is_core"].to_numpy() == core).all()
     assert want.max() >= 1 and (want == -1).any()
 
 
+def test_dbscan_full_cells_ties_and_no_rows(spark):
+    rng = np.random.default_rng(4)
+    # A third of all rows at one place, a chain of single cells beside it, points at just the distance, noise.
+    x = np.concatenate([np.zeros((120, 3)), np.outer(np.arange(1, 90), [0.5, 0, 0]), rng.normal(8, 0.6, (100, 3)), rng.uniform(-9, -3, (40, 3))])
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=rng.permutation(len(x))).sort_values("id").reset_index(drop=True)
+    for eps, k, block_rows in ((0.5, 3, 16), (1.5, 10, 2048)):
+        want, core = brute_dbscan(pdf, eps, k)
+        got = density.dbscan(spark.createDataFrame(pdf), "id", ["a", "b", "c"], eps, k, block_rows).toPandas().sort_values("id")
+        assert (got["cluster"].to_numpy() == want).all() and (got["is_core"].to_numpy() == core).all()
+    assert density.dbscan(spark.createDataFrame(pdf.head(1)).where("false"), "id", ["a", "b", "c"]).count() == 0
+
+
 @pytest.mark.parametrize("block_rows", [20, 4096])
 def test_silhouette_equals_brute_force(spark, block_rows):
     pdf = blobs(90)
