@@ -40,13 +40,22 @@ def _near_cells(cells: DataFrame, dimensions: int, side: float, eps: float) -> D
     return asking.join(asked, names).where(gap * F.lit(side * side) <= F.lit(eps * eps * (1 + 1e-6))).select("_a", "_b", "_blocks_b")
 
 
-def _visit(visitors: DataFrame, hosts: DataFrame, run, schema: str) -> DataFrame:
-    """``run(visitors, hosts)`` once for each block of a cell and part of its visitors."""
+def _visit(visitors: DataFrame, hosts: DataFrame, run, schema: str, buckets: int) -> DataFrame:
+    """``run(visitors, hosts)`` once for each block of a cell and part of its visitors; places are dealt to buckets, since most cells hold few rows."""
     place = ["_cell", "_block", "_part"]
+    names = [part.split()[0].strip("`") for part in schema.split(", ")]
     tasks = tasks_of(hosts)
-    # New column identities for the second side, so the two sides of one frame stay apart.
-    hosts = hosts.toDF(*hosts.columns)
-    return visitors.repartition(tasks, *place).groupBy(*place).cogroup(hosts.repartition(tasks, *place).groupBy(*place)).applyInPandas(run, schema)
+
+    def each(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        known = there.groupby(place, sort=False).indices
+        met = [run(here.iloc[i], there.iloc[known[at]]) for at, i in here.groupby(place, sort=False).indices.items() if at in known]
+        return pd.concat(met) if met else pd.DataFrame({n: [] for n in names})
+
+    def dealt(frame: DataFrame):
+        # New column identities, so the two sides of one frame stay apart.
+        return frame.toDF(*frame.columns).withColumn("_bucket", F.pmod(F.xxhash64(*place), F.lit(buckets))).repartition(tasks, "_bucket").groupBy("_bucket")
+
+    return dealt(visitors).cogroup(dealt(hosts)).applyInPandas(each, schema)
 
 
 def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float = 1.5, min_rows: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,6 +76,9 @@ def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float = 1.
     if cells.isEmpty():
         return points.select(key, F.lit(-1).cast("bigint").alias("cluster"), F.lit(False).alias("is_core")).where("false")
     pairs = cut_lineage(_near_cells(cells, len(features), side, eps))
+    # A row meets each block of each near cell at most; a bucket gets about a block of such visits.
+    visits = pairs.join(cells.select(F.col("_cell").alias("_a"), "_n"), "_a").agg(F.sum(F.col("_n") * F.col("_blocks_b"))).first()[0]
+    buckets = max(tasks_of(placed), visits // block_rows + 1)
     block = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
     rows = placed.drop("_at").join(small(cells.select("_cell", "_n", "_blocks")), "_cell").withColumn("_block", block)
 
@@ -79,19 +91,15 @@ def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float = 1.
             "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks_b") - 1))).select(key, *features, *more, F.col("_b").alias("_cell"), "_block", F.lit(0).alias("_part"))
 
     def count_near(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if not len(here) or not len(there):
-            return pd.DataFrame({key: [], "near": []})
         return pd.DataFrame({key: here[key], "near": (distances(values(here), values(there)) <= eps).sum(axis=1)})
 
     hosts = rows.select(key, *features, "_cell", "_block", F.lit(0).alias("_part"))
-    near = _visit(calls(rows.where(F.col("_n") < min_rows)), hosts, count_near, f"`{key}` {kind}, near bigint").groupBy(key).agg(F.sum("near").alias("near"))
+    near = _visit(calls(rows.where(F.col("_n") < min_rows)), hosts, count_near, f"`{key}` {kind}, near bigint", buckets).groupBy(key).agg(F.sum("near").alias("near"))
     marked = cut_lineage(rows.join(near, key, "left").withColumn("is_core", F.coalesce((F.col("_n") >= min_rows) | (F.col("near") >= min_rows), F.lit(False))).drop("near"))
     cores = marked.where("is_core")
 
     # Each near pair of cells once: a block of the one visits each block of the other.
     def linked(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if not len(here) or not len(there):
-            return pd.DataFrame({"src": [], "dst": []})
         hit = np.zeros(len(here), bool)
         for start in range(0, len(there), 256):
             hit |= (distances(values(here), values(there.iloc[start:start + 256])) <= eps).any(axis=1)
@@ -106,7 +114,7 @@ def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float = 1.
     most = core_pairs.groupBy(F.col("_b").alias("_cell")).agg(F.max("_blocks_a").alias("_parts"))
     called = cores.select(*features, "_cell", "_block").join(most, "_cell").select(
         *features, "_cell", "_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    labelled = components(with_core.select(F.col("_cell").alias("node")), _visit(callers, called, linked, "src string, dst string"))
+    labelled = components(with_core.select(F.col("_cell").alias("node")), _visit(callers, called, linked, "src string, dst string", buckets))
 
     # Clusters are numbered by their smallest key, through the table of cells.
     named = labelled.join(with_core.select(F.col("_cell").alias("node"), "_least"), "node")
@@ -116,13 +124,11 @@ def dbscan(points: DataFrame, key: str, features: Sequence[str], eps: float = 1.
     told = cores.join(small(clusters), "_cell").select(key, *features, "_cell", "_block", F.lit(0).alias("_part"), "cluster")
 
     def in_reach(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if not len(here) or not len(there):
-            return pd.DataFrame({key: [], "border": []})
         close = distances(values(here), values(there)) <= eps
         best = np.where(close, there["cluster"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)
         hit = close.any(axis=1)
         return pd.DataFrame({key: here[key][hit], "border": best[hit]})
 
-    border = _visit(calls(marked.where("not is_core")), told, in_reach, f"`{key}` {kind}, border bigint").groupBy(key).agg(F.min("border").alias("cluster"))
+    border = _visit(calls(marked.where("not is_core")), told, in_reach, f"`{key}` {kind}, border bigint", buckets).groupBy(key).agg(F.min("border").alias("cluster"))
     others = marked.where("not is_core").select(key).join(border, key, "left").select(key, F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"), F.lit(False).alias("is_core"))
     return told.select(key, "cluster", F.lit(True).alias("is_core")).unionByName(others)
