@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from devicehealth.operators.components import components
-from devicehealth.operators.geometry import BLOCK_ROWS, distances, tasks_of
+from devicehealth.operators.geometry import BLOCK_ROWS, distances
 from devicehealth.operators.ordering import ordered_position
 from devicehealth.session import cut_lineage, small
 

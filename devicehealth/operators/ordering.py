@@ -1,7 +1,8 @@
 """Order-dependent work on groups that may not fit one task.
 
-A window over a whole group sorts it in one task. These operators cut the order into value ranges
-first, so each window sees one range, and carry totals across ranges through a small table.
+A window over a whole group sorts it in one task. These operators cut the order into pieces first, so
+each window sees one piece, and carry totals across pieces through a small table. Numbers are cut at
+approximate quantiles; keys of several columns and texts are cut by Spark's range partitioner.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from devicehealth.session import cut_lineage, tasks_of
+
 RANGES = 256
 
 
@@ -33,15 +36,19 @@ def _into_ranges(df: DataFrame, column: str, cuts: Sequence[float], name: str) -
     return placed.withColumn(name, F.coalesce(name, F.lit(-1.0)))
 
 
-def _as_number(df: DataFrame, column: str):
-    """Number that never decreases along the column's order: the value itself, or the first six bytes of a text."""
-    if dict(df.dtypes)[column] == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.substring(column, 1, 6)), 1, 12), 12, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+def order_pieces(df: DataFrame, keys: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Add ``_piece``: index of the stretch of the order by ``keys`` that a row falls in.
+
+    The cuts are sampled whole keys, texts at full length, so no common prefix and no single large group
+    ends up in one piece; rows equal in all keys stay together. The sample may differ between two runs of
+    the same plan, so the dealt rows are written once and all readers see the same pieces.
+    """
+    dealt = df.repartitionByRange(pieces or tasks_of(df), *[F.col(k).asc_nulls_first() for k in keys])
+    return cut_lineage(dealt.withColumn("_piece", F.spark_partition_id()))
 
 
 def value_ranges(df: DataFrame, column: str, tie: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """Add ``_range`` and ``_part``, which split the order by value and tie columns into pieces.
+    """Add ``_range`` and ``_part``, which split the order by numeric value and tie columns into pieces.
 
     A value that many rows share is split further along the first tie column. The cut points are a few
     hundred approximate quantiles held on the driver; any cut points give right results, close ones
@@ -52,7 +59,7 @@ def value_ranges(df: DataFrame, column: str, tie: Sequence[str] = (), ranges: in
     if not tie or not common:
         return cut.withColumn("_part", F.lit(0.0))
     shared = F.col(column).isin(*common)
-    numbered = cut.withColumn("_tie", _as_number(df, tie[0]))
+    numbered = cut.withColumn("_tie", F.col(tie[0]).cast("double"))
     borders, _ = _cut_points(numbered.where(shared), "_tie", ranges)
     parts = _into_ranges(numbered, "_tie", borders, "_part").drop("_tie")
     return parts.withColumn("_part", F.when(shared, F.col("_part")).otherwise(0.0))
@@ -60,12 +67,16 @@ def value_ranges(df: DataFrame, column: str, tie: Sequence[str] = (), ranges: in
 
 def prefix_sums(df: DataFrame, column: str, sums: Sequence[str], by: Sequence[str] = (),
                 tie: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """Add ``before_<c>``: sum of ``c`` over the rows of the group that sort before this one."""
+    """Add ``before_<c>``: sum of ``c`` over the rows of the group that sort before this one; missing values come first."""
     by, tie = list(by), list(tie)
-    piece = [*by, "_range", "_part"]
-    cut = value_ranges(df, column, tie, ranges)
+    types = dict(df.dtypes)
+    if any(types[c] == "string" for c in (column, *tie)):
+        places, cut = ["_piece"], order_pieces(df, [*by, column, *tie], ranges)
+    else:
+        places, cut = ["_range", "_part"], value_ranges(df, column, tie, ranges)
+    piece = [*by, *places]
     totals = cut.groupBy(*piece).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*piece, *[
         F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_carry_{c}") for c in sums])
     within = Window.partitionBy(*piece).orderBy(column, *tie).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,27 +110,30 @@ def latest_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Da
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, payload: Sequence[str], tie: str,
-          period: str = "day", inclusive: bool = True) -> DataFrame:
+          inclusive: bool = True, pieces: int | None = None) -> DataFrame:
     """For each left row, the ``payload`` of the key's latest right row at or before it.
 
-    Keys are cut into calendar periods: the window sorts one key and period, and the last right row
-    of earlier periods comes from a table with one row per key and period.
+    Of several right rows at one time the one with the largest ``tie`` counts. Rows without key or time match nothing.
+    Both sides are dealt by (key, time) into pieces of about equal size, so a key with very many rows, even within one
+    day, spreads over as many tasks as its share of the rows; the last right row of earlier pieces comes from a table
+    with one row per key and piece.
     """
     payload = list(payload)
-    value = F.struct(F.col(time).alias("_at"), F.col(tie).alias("_tie"), *payload)
-    right_tagged = right.where(F.col(by).isNotNull()).select(
+    value = F.struct(F.col(time).alias("_at"), *payload)
+    right_tagged = right.where(F.col(by).isNotNull() & F.col(time).isNotNull()).select(
         F.col(by), F.col(time), F.col(tie), value.alias("_seen"), F.lit(0 if inclusive else 1).alias("_side"))
     row = F.struct(*left.columns).alias("_row")
     left_tagged = left.select(F.col(by), F.col(time), F.col(tie), row, F.lit(1 if inclusive else 0).alias("_side"))
-    both = left_tagged.unionByName(right_tagged, allowMissingColumns=True).withColumn(
-        "_period", F.date_trunc(period, F.col(time)))
+    order = [time, "_side", tie]
+    both = order_pieces(left_tagged.unionByName(right_tagged, allowMissingColumns=True), [by, *order], pieces)
 
-    last_in_period = both.groupBy(by, "_period").agg(F.max("_seen").alias("_last"))
-    earlier = Window.partitionBy(by).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_in_period.select(by, "_period", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    place = F.when(F.col("_seen").isNotNull(), F.struct(time, tie))
+    last_in_piece = both.groupBy(by, "_piece").agg(F.max_by("_seen", place).alias("_last"))
+    earlier = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_in_piece.select(by, "_piece", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")).where("_carry is not null")
 
-    within = Window.partitionBy(by, "_period").orderBy(time, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_now", F.last("_seen", ignorenulls=True).over(within)).where(F.col("_row").isNotNull())
-    matched = seen.join(carried, [by, "_period"], "left").withColumn("_hit", F.coalesce("_now", "_carry"))
+    matched = seen.join(carried, [by, "_piece"], "left").withColumn("_hit", F.coalesce("_now", "_carry"))
     return matched.select("_row.*", F.col("_hit._at").alias(f"matched_{time}"), *[
         F.col(f"_hit.{c}").alias(f"matched_{c}") if c in left.columns else F.col(f"_hit.{c}").alias(c) for c in payload])

@@ -80,6 +80,38 @@ def test_as_of_crosses_periods(spark, inclusive):
     assert got == {1: 5.0, 2: 6.0, 3: None, 4: 5.0 if inclusive else None}
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_as_of_spreads_a_key_of_one_day(spark, inclusive):
+    rng = np.random.default_rng(11)
+    rows = pd.DataFrame({"id": np.arange(6_000), "u": np.where(rng.random(6_000) < 0.9, "hot", "u" + pd.Series(rng.integers(0, 40, 6_000)).astype(str)),
+                         "t": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 4_000, 6_000), unit="s"), "v": np.arange(6_000) * 1.0})
+    sides = rng.random(6_000) < 0.5
+    left, right = rows[sides].drop(columns="v"), rows[~sides]
+    blank = pd.DataFrame({"id": [-1, -2], "u": [None, "hot"], "t": [pd.Timestamp("2024-01-02"), pd.NaT]})
+    left = pd.concat([left, blank], ignore_index=True)
+    extra = pd.DataFrame({"id": [-3, -4], "u": [None, "hot"], "t": [pd.Timestamp("2024-01-01"), pd.NaT], "v": [-3.0, -4.0]})
+    frames = [spark.createDataFrame(x).withColumn("t", F.col("t").cast("timestamp_ntz")) for x in (left, pd.concat([right, extra], ignore_index=True))]
+    got = ordering.as_of(*frames, "u", "t", ["v"], "id", inclusive=inclusive, pieces=16).toPandas().set_index("id")["v"].sort_index()
+    known = left.dropna().sort_values("t", kind="stable")
+    want = pd.merge_asof(known, right.sort_values(["t", "id"]).drop(columns="id"), on="t", by="u", allow_exact_matches=inclusive).set_index("id")["v"]
+    want = want.reindex(got.index)
+    assert len(got) == len(left) and np.array_equal(got.to_numpy(float), want.to_numpy(float), equal_nan=True)
+    sizes = ordering.order_pieces(frames[1].where("u = 'hot'"), ["u", "t", "id"], 16).groupBy("_piece").count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 3 * sizes.mean()
+
+
+def test_ties_with_a_common_prefix_fall_into_many_pieces(spark):
+    names = [f"a-very-long-common-prefix-{i:05d}" for i in range(3_000)]
+    df = spark.createDataFrame([(1.0, n, i) for i, n in enumerate(names)] + [(None, "a", -1), (0.5, None, -2)], "v double, name string, i int")
+    got = ordering.ordered_position(df, "v", tie=["name"], ranges=16).toPandas().set_index("i")["position"]
+    assert got[-1] == 1 and got[-2] == 2 and (got.sort_index().to_numpy()[2:] == np.arange(3, 3_003)).all()
+    sizes = ordering.order_pieces(df, ["v", "name"], 16).groupBy("_piece").count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 3 * sizes.mean()
+    # A text as the ordered column itself.
+    by_name = ordering.ordered_position(df, "name", ranges=16).where("i >= 0").toPandas().set_index("i")["position"].sort_index()
+    assert (by_name.to_numpy() == np.arange(3, 3_003)).all()
+
+
 def blobs(n=260, seed=5):
     """Three dense groups, a third of the rows in one spot, and some noise."""
     rng = np.random.default_rng(seed)
