@@ -84,6 +84,35 @@ def test_late_and_tied_messages_get_the_alert_of_their_time(spark, tmp_path):
     assert got == {3: ("early", 2), 4: ("late", 5), 5: (None, None), 8: ("tie", 8)}
 
 
+def test_alert_state_is_written_by_the_alert_and_kept_for_a_span(spark, tmp_path):
+    import datetime as dt
+
+    folder, out, check = [str(tmp_path / n) for n in ("in", "out", "check")]
+    schema = "event_id bigint, user_id bigint, ts timestamp, kind string, metric string"
+    start = dt.datetime(2024, 1, 1)
+
+    def run(rows, keep_ms=None):
+        spark.createDataFrame([(i, u, at and start + dt.timedelta(seconds=at), k, m) for i, u, at, k, m in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = messages_with_latest_alert(spark.readStream.schema(schema).parquet(folder), keep_ms).writeStream.format("parquet").option(
+            "path", out + str(keep_ms)).option("checkpointLocation", check + str(keep_ms)).trigger(availableNow=True).start()
+        stream.awaitTermination()
+        updated = [p["stateOperators"][0]["numRowsUpdated"] for p in stream.recentProgress if p["numInputRows"]]
+        return {r["event_id"]: r["metric"] for r in spark.read.parquet(out + str(keep_ms)).collect()}, sum(updated)
+
+    history = [(i, 1, 30 * i, "alert", f"m{i}") for i in range(1, 101)]
+    _, many = run(history + [(5000, 1, 299, "message", None)])
+    got, few = run([(1000, 1, 4000, "alert", "new"), (1001, 1, 4000, "message", None), (1002, 1, 1239, "message", None), (1003, 1, 5, "message", None),
+                    (1004, None, 4000, "message", None), (1005, 1, None, "message", None), (1006, 1, None, "alert", "never"), (1007, None, 1, "alert", "nobody"),
+                    (300, 1, 300, "alert", "tie"), (1008, 1, 305, "message", None)])
+    assert got == {5000: "m9", 1001: "new", 1002: "m41", 1003: None, 1004: None, 1005: None, 1008: "tie"}
+    assert many >= 100 and few <= 6
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    # The same files in one batch, alerts kept for 500 s before the newest: the one in force 3,500 s in is the last of the history.
+    kept, _ = run([(2000, 1, 2995, "message", None), (2001, 1, 3000, "message", None), (2002, 1, 3999, "message", None)], keep_ms=500_000)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
+    assert {k: kept[k] for k in (2000, 2001, 2002, 1001, 1002)} == {2000: None, 2001: "m100", 2002: "m100", 1001: "new", 1002: None}
+
+
 def test_daily_alerts_with_late_repeated_and_restarted_files(spark, tmp_path):
     import datetime as dt
 
