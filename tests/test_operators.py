@@ -162,6 +162,23 @@ def test_dbscan_full_cells_ties_and_no_rows(spark):
     assert density.dbscan(spark.createDataFrame(pdf.head(1)).where("false"), "id", ["a", "b", "c"]).count() == 0
 
 
+def test_grid_copies_a_row_to_the_root_of_the_tasks():
+    # The same number of copies at any number of rows that fits the blocks, so shuffled rows grow in proportion.
+    assert [geometry.grid_side(n, 200) for n in (10_000, 100_000, 1_000_000)] == [15, 15, 15]
+    assert geometry.grid_side(10_000_000, 200) == 100 and geometry.grid_side(0, 8) == 1 and geometry.grid_side(2, 8) == 2
+    assert [geometry.grid_side(10_000, t) for t in (1, 4, 5, 9, 10)] == [1, 2, 3, 3, 4]
+
+
+def test_tiles_cover_all_pairs(monkeypatch):
+    monkeypatch.setattr(geometry, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(20, 3)), rng.normal(size=(15, 3))
+    got = np.zeros((20, 15))
+    for here, there, gaps in geometry.tiles(a, b):
+        got[here, there] += gaps
+    assert np.allclose(got, geometry.distances(a, b))
+
+
 @pytest.mark.parametrize("block_rows", [20, 4096])
 def test_silhouette_equals_brute_force(spark, block_rows):
     pdf = blobs(90)
