@@ -10,7 +10,8 @@ from devicehealth.operators import alerts as al
 from devicehealth.operators.detect import feature_lines, metric_keys
 from devicehealth.plans import alerting
 from devicehealth.schema import ALERT_METRICS, alert_dimension
-from devicehealth.sources.side_tables import problem_records_json, threshold_map
+from devicehealth.session import scratch_path
+from devicehealth.sources.side_tables import problem_envelopes, problem_records_json, read_problem_envelopes, threshold_map
 
 HITS_SQL = f"""{DIMENSION_SQL}, {LONG_SQL}, hits as (select reading_id, auth_username as username, model_name as device, long.metric, value,
       threshold, lower_is_worse, label, button_label, type, headline, delta_line
@@ -100,6 +101,37 @@ def d4_text(spark, sf):
     return alerting.follow_ups(records(spark, sf), fleet(spark, sf), order=("time", "reading_id")).select("username", "text")
 
 
+def routed(spark, sf):
+    """A routing table from the nations: each metric in turn, some nations without an address."""
+    names = F.array(*[F.lit(m[0]) for m in ALERT_METRICS])
+    url = F.when(F.col("n_nationkey") % 6 != 2, F.concat(F.lit("https://docs.example/"), F.lower("n_name")))
+    return table(spark, sf, "nation").select(names[(F.col("n_nationkey") % 6).cast("int")].alias("metric_key"), url.alias("canvas_url"))
+
+
+ROUTED_SQL = "routed as (select case n_nationkey % 6 " + " ".join(f"when {i} then '{m[0]}'" for i, m in enumerate(ALERT_METRICS)) + (
+    " end as metric, min(case when n_nationkey % 6 <> 2 then 'https://docs.example/' || lower(n_name) end) as url from nation group by 1)")
+LINKED_ITEM = ITEM.removesuffix("button_label") + "case when url is null then button_label else '<' || url || '|' || button_label || '>' end"
+
+
+@query("t4_linked_alerts", sql=f"""with {FLEET_SQL}, {HITS_SQL}, {ROUTED_SQL}, {RENDERED_SQL.replace(ITEM, LINKED_ITEM).replace("from hits", "from hits left join routed using (metric)")}
+    select reading_id, {BODY} as body from rendered""")
+def t4_linked(spark, sf):
+    return al.render_alerts(records(spark, sf), urls=al.addresses(routed(spark, sf))).select("reading_id", "body")
+
+
+@query("d4_linked_follow_up", sql=f"""with {FLEET_SQL}, {HITS_SQL}, {ROUTED_SQL},
+    latest as (select * from fleet qualify row_number() over (partition by auth_username order by time desc, reading_id desc) = 1),
+    now as (select username, string_agg({LINKED_ITEM}, chr(10) || chr(10) order by {ORDER}) as items from hits left join routed using (metric)
+      where reading_id in (select reading_id from latest) group by username)
+    select username, case when items is null then 'Your laptop is all clear! No risk factors detected. 🎉' else
+      'Your laptop is still at risk. Please follow these guides:' || chr(10) || chr(10) || items || chr(10) || chr(10)
+      || 'When you''re done, hit *re-run diagnosis* again.' end as text
+    from (select distinct username from hits) left join now using (username)""")
+def d4_linked(spark, sf):
+    urls = al.addresses(routed(spark, sf))
+    return alerting.follow_ups(records(spark, sf), fleet(spark, sf), order=("time", "reading_id"), urls=urls).select("username", "text")
+
+
 def mutes(spark, sf):
     """Opt-outs: users by signup events, user and metric by error events."""
     names = F.array(*[F.lit(m[0]) for m in ALERT_METRICS])
@@ -173,6 +205,16 @@ def s11(spark, sf):
     return threshold_map(long).select(F.to_json("thresholds").alias("value"))
 
 
+@query("s13_problem_envelopes", sql=f"""with {FLEET_SQL}, {HITS_SQL}
+    select username, device, string_agg(metric || '=' || cast(round(value, 4) as varchar), ';' order by {ORDER}) as features
+    from hits group by reading_id, username, device""")
+def s13_envelopes(spark, sf):
+    path = scratch_path(spark, "problems")
+    problem_envelopes(records(spark, sf)).write.text(path)
+    listed = F.array_join(F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 4).cast("string"))), ";")
+    return read_problem_envelopes(spark, path).select("username", "device", listed.alias("features"))
+
+
 @query("s13_problem_json", sql=f"""with {FLEET_SQL}, {HITS_SQL}
     select '{{"username":"' || username || '","device":"' || device || '","features":{{' ||
       string_agg('"' || metric || '":' || cast(value as varchar), ',' order by {ORDER}) || '}}}}' as value

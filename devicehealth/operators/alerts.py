@@ -50,6 +50,17 @@ def _metric_details() -> Column:
     return F.create_map(*entries)
 
 
+def addresses(routing: DataFrame) -> Column:
+    """Map metric -> address from a routing table ``(metric_key, canvas_url)``, for ``render_alerts``.
+
+    Only alert metrics are looked up and the least address of each is taken, so six values at most are fetched.
+    A metric without an address keeps its bare label.
+    """
+    known = routing.where(F.col("metric_key").isin(*[m[0] for m in ALERT_METRICS]) & (F.col("canvas_url") != ""))
+    found = known.groupBy("metric_key").agg(F.min("canvas_url")).collect()
+    return F.create_map(*[F.lit(v) for row in found for v in row]).cast("map<string,string>")
+
+
 def render_alerts(records: DataFrame, first_name: str = "first_name", urls: Column | None = None) -> DataFrame:
     """Add ``items``, ``alert_class``, ``body`` and ``summary`` to records with a features map.
 

@@ -48,10 +48,10 @@ def messages(readings: DataFrame, directory: DataFrame, opt_outs: DataFrame | No
     return alerts.render_alerts(sent, urls=urls), rejected
 
 
-def follow_ups(previous: DataFrame, readings: DataFrame, thresholds=None, order: tuple[str, ...] = ("time",)) -> DataFrame:
-    """Re-diagnosis of alerted users on their latest reading, with the text to show."""
+def follow_ups(previous: DataFrame, readings: DataFrame, thresholds=None, order: tuple[str, ...] = ("time",), urls=None) -> DataFrame:
+    """Re-diagnosis of alerted users on their latest reading, with the text to show; guides are linked where ``urls`` has them."""
     checked = alerts.rediagnose(previous, readings, lambda latest: problem_records(latest, thresholds), order=order)
     asked = checked.withColumnsRenamed({"remaining": "features"}).withColumn("device", F.lit(""))
-    rendered = alerts.render_alerts(asked)
+    rendered = alerts.render_alerts(asked, urls=urls)
     text = F.when(F.col("status") == "all clear", F.lit(ALL_CLEAR)).otherwise(still_at_risk_body(F.col("items")))
     return rendered.select("username", "status", F.col("features").alias("remaining"), text.alias("text"))
