@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from devicehealth.operators.components import components
 from devicehealth.operators.geometry import BLOCK_ROWS, distances
 from devicehealth.operators.ordering import ordered_position
-from devicehealth.session import cut_lineage, small
+from devicehealth.session import cut_lineage, small, tasks_of
 
 #: Axes of the coarse grid on which near cells are looked up; the boxes themselves are compared on all axes.
 LOOKUP_AXES = 3

@@ -66,14 +66,14 @@ def value_ranges(df: DataFrame, column: str, tie: Sequence[str] = (), ranges: in
 
 
 def prefix_sums(df: DataFrame, column: str, sums: Sequence[str], by: Sequence[str] = (),
-                tie: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+                tie: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Add ``before_<c>``: sum of ``c`` over the rows of the group that sort before this one; missing values come first."""
     by, tie = list(by), list(tie)
     types = dict(df.dtypes)
     if any(types[c] == "string" for c in (column, *tie)):
         places, cut = ["_piece"], order_pieces(df, [*by, column, *tie], ranges)
     else:
-        places, cut = ["_range", "_part"], value_ranges(df, column, tie, ranges)
+        places, cut = ["_range", "_part"], value_ranges(df, column, tie, ranges or RANGES)
     piece = [*by, *places]
     totals = cut.groupBy(*piece).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +86,7 @@ def prefix_sums(df: DataFrame, column: str, sums: Sequence[str], by: Sequence[st
 
 
 def ordered_position(df: DataFrame, column: str, by: Sequence[str] = (), tie: Sequence[str] = (),
-                     ranges: int = RANGES) -> DataFrame:
+                     ranges: int | None = None) -> DataFrame:
     """Add ``position``: 1-based rank of a row in its group by value and tie columns."""
     counted = prefix_sums(df.withColumn("_one", F.lit(1)), column, ["_one"], by, tie, ranges)
     return counted.withColumn("position", (F.col("before__one") + 1).cast("bigint")).drop("_one", "before__one")
