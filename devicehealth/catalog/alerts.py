@@ -182,17 +182,19 @@ def d2_messages(spark, sf):
     with articles as (select 'doc' || cast(doc_id as varchar) as metric,
       regexp_replace(regexp_replace(replace(replace(text, '*', ''), '_', ''), '(^|\\n)[-#]', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') as body from documents),
     routed as (select event_id, case event_type when 'view' then 'avg_boot_time' when 'click' then 'battery_cycle'
-      when 'error' then 'doc' || cast(event_id as varchar) end as metric from events)
+      when 'error' then 'doc' || cast(event_id % (select count(*) + count(*) // 100 + 1 from documents) as varchar) end as metric from events)
     select event_id, case when routed.metric is null then null else 'Here''s what I know about *' || routed.metric || '*:' || chr(10) || chr(10) || coalesce(body,
       '*No self-help article found for this issue yet.*' || chr(10) || chr(10) || 'Please contact IT directly and mention: `' || routed.metric || '`') end as reply
     from routed left join articles using (metric)""")
 def t8_replies(spark, sf):
-    # Whole texts, without the signs of markup, whose rewriting T7 checks.
+    # Whole texts, without the signs of markup, whose rewriting T7 checks. Events ask for each article in turn, and for a hundredth more than there are.
     unmarked = F.regexp_replace(F.translate("text", "*_", ""), r"(^|\n)[-#]", "$1")
-    articles = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("metric"), unmarked.alias("body"), F.lit("mac").alias("platform"))
+    documents = table(spark, sf, "documents")
+    asked = documents.agg((F.count("*") + F.expr("count(*) div 100") + 1).alias("asked"))
+    articles = documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("metric"), unmarked.alias("body"), F.lit("mac").alias("platform"))
     said = F.when(F.col("event_type") == "view", "Why so slow?").when(F.col("event_type") == "click", "my BATTERY dies").otherwise("help")
-    raised = F.concat(F.lit("doc"), F.col("event_id").cast("string"))
-    messages = table(spark, sf, "events").select("event_id", said.alias("text"), F.when(F.col("event_type") == "error", raised).alias("last_metric"))
+    raised = F.concat(F.lit("doc"), (F.col("event_id") % F.col("asked")).cast("string"))
+    messages = table(spark, sf, "events").crossJoin(F.broadcast(asked)).select("event_id", said.alias("text"), F.when(F.col("event_type") == "error", raised).alias("last_metric"))
     answered = al.answer_messages(messages, articles, alert_dimension(spark))
     return answered.select("event_id", F.when(F.col("reply") != tx.GENERIC_REPLY, F.col("reply")).alias("reply"))
 

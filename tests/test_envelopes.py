@@ -1,9 +1,10 @@
-"""Envelopes of problematic users and the addresses of guides."""
+"""Envelopes of problematic users, the addresses of guides and replies with articles."""
 
 import json
 
 from pyspark.sql import functions as F
 
+from devicehealth import catalog
 from devicehealth.operators import alerts
 from devicehealth.sources.side_tables import problem_envelopes, read_problem_envelopes
 
@@ -37,3 +38,13 @@ def test_addresses(spark):
     assert "<https://a|" in items["ann"] and items["ann"] != bare["ann"] and items["bob"] == bare["bob"]
     none = alerts.render_alerts(records, urls=alerts.addresses(routing.where(F.lit(False)))).collect()
     assert {r["username"]: r["items"][0] for r in none} == bare
+
+
+def test_replies_hold_articles_at_each_size(spark):
+    queries = catalog.load()[0]
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        asked = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").select("event_id")
+        replies = queries["t8_message_replies"](spark, sf).join(asked, "event_id")
+        missing = F.col("reply").contains("*No self-help article found for this issue yet.*")
+        told = replies.agg(F.count("reply").alias("all"), F.sum(missing.cast("int")).alias("missing")).first()
+        assert told["all"] == asked.count() and 0 < told["missing"] <= 0.05 * told["all"]
