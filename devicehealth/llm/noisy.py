@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Bits for a substitution, for dropping a separator, for ending a word at one, for dropping a sign that can be a letter, for shortening a run of a letter, for leaving it,
 #: for taking a letter for a repeat of the one before it.
 SUBSTITUTED, DROPPED, CLOSED, IGNORED, SHORTENED, LEFT, REPEATED = 1.0, 1.0, 2.0, 10.0, 1.0, 8.0, 2.0
+#: Tokens whose words are held.
+HELD = 50_000
 #: Symbols of the language model: 0 is a word's edge, 1-26 the letters, 27 any other letter.
 SYMBOLS = 28
 _OF_BYTE = np.zeros(256, np.int64)
@@ -42,35 +45,61 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
+_STATES = SYMBOLS ** 2
+_SEPARATOR = [("", [], DROPPED), (" ", [0], CLOSED)]
+
+
 class Restorer:
     """Most likely plain words of a disguised token, with a blank between two."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost = cost.tolist()
+        self.cost = cost.reshape(-1).tolist()
+        self._runs: dict[tuple[str, int, bool], list] = {}
         #: By the symbols before, of and behind a double: whether one letter of it is likelier than both.
         double = cost[np.arange(SYMBOLS), np.arange(SYMBOLS)]
         self.single = np.einsum("bcc->bc", cost)[:, :, None] + double[None] > cost + REPEATED
-        self.hidden = lru_cache(maxsize=50_000)(self._hidden)
-
-    def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each sign or run of a sign: what it can stand for, and the bits of that."""
+        self.hidden = lru_cache(maxsize=HELD)(self._hidden)
+        self._known: dict[int, tuple[list[str], str]] = {}
+
+    def known(self, key: int, token: Callable[[], str]) -> tuple[list[str], str]:
+        """``hidden`` of the token with this 64-bit hash, whose letters are asked for only if it has not been met."""
+        found = self._known.get(key)
+        if found is None:
+            if len(self._known) >= HELD:
+                self._known.clear()
+            found = self._known[key] = self.hidden(token())
+        return found
+
+    def _arcs(self, c: str, n: int, last: bool) -> list[tuple[str, list[int], float]]:
+        """What a run of ``n`` equal signs can stand for, its symbols, and the bits of that."""
+        if c.isalpha():
+            out = [(c, 0.0)] if n < 2 else [(c, REPEATED), (c * 2, 0.0)] if n < 3 else [(c, SHORTENED), (c * 2, SHORTENED), (c * n, LEFT)]
+        else:
+            runs = {1, min(n, 2)}
+            # An exclamation mark at the end may be just that.
+            out = [(x * r, SUBSTITUTED * n) for x in LEET[c] for r in runs] + [("", DROPPED if c == "!" and last else IGNORED * n)]
+        return [(letters, [_symbol(x) for x in letters], bits) for letters, bits in out]
+
+    def _lattice(self, token: str) -> list[list[tuple[str, list[int], float]]]:
+        """For each sign or run of a sign: what it can stand for, its symbols, and the bits of that."""
         out, i = [], 0
         while i < len(token):
-            c, j = token[i], i
+            c, j = token[i], i + 1
             while j < len(token) and token[j] == c:
                 j += 1
-            n = j - i
-            if c.isalpha():
-                out.append([(c, 0.0)] if n < 2 else [(c, REPEATED), (c * 2, 0.0)] if n < 3 else [(c, SHORTENED), (c * 2, SHORTENED), (c * n, LEFT)])
-            elif c in LEET:
-                runs = {1, min(n, 2)}
-                # An exclamation mark at the end may be just that.
-                out.append([(x * r, SUBSTITUTED * n) for x in LEET[c] for r in runs] + [("", DROPPED if c == "!" and j == len(token) else IGNORED * n)])
+            if c.isalpha() or c in LEET:
+                run = c, j - i, j == len(token)
+                arcs = self._runs.get(run)
+                if arcs is None:
+                    arcs = self._arcs(*run)
+                    if j - i <= 4 and c.isascii():
+                        self._runs[run] = arcs
+                out.append(arcs)
             else:
                 # A stretch of separators stands between two letters or between two words.
                 while j < len(token) and not token[j].isalpha() and token[j] not in LEET:
                     j += 1
-                out.append([("", DROPPED), (" ", CLOSED)])
+                out.append(_SEPARATOR)
             i = j
         return out
 
@@ -87,32 +116,47 @@ class Restorer:
         return words, whole
 
     def restore(self, token: str) -> str:
-        # What is said so far is a chain of letters, each with those before it.
+        # What is said so far is a chain of letters, each with those before it; a state is the last two symbols.
         cost = self.cost
-        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for arcs in self._lattice(token):
-            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for letters, channel in arcs:
-                symbols = [_symbol(c) for c in letters]
+            step: dict[int, tuple[float, tuple | None]] = {}
+            for letters, symbols, channel in arcs:
                 first = symbols[0] if symbols and 1 <= symbols[0] <= 26 else -1
-                for (a, b), (bits, said) in best.items():
-                    p, q, total = a, b, bits + channel
+                for start, (bits, said) in best.items():
+                    state, total = start, bits + channel
                     for s in symbols:
-                        total += cost[p][q][s]
-                        p, q = q, s
-                    if (p, q) not in step or total < step[p, q][0]:
-                        step[p, q] = total, (said, letters) if letters else said
-                    if b == first:
-                        p, q, total = a, b, bits + channel + REPEATED
+                        at = state * SYMBOLS + s
+                        total += cost[at]
+                        state = at % _STATES
+                    old = step.get(state)
+                    if old is None or total < old[0]:
+                        step[state] = total, (said, letters) if letters else said
+                    if start % SYMBOLS == first:
+                        state, total = start, bits + channel + REPEATED
                         for s in symbols[1:]:
-                            total += cost[p][q][s]
-                            p, q = q, s
-                        if (p, q) not in step or total < step[p, q][0]:
-                            step[p, q] = total, (said, letters[1:]) if letters[1:] else said
+                            at = state * SYMBOLS + s
+                            total += cost[at]
+                            state = at % _STATES
+                        old = step.get(state)
+                        if old is None or total < old[0]:
+                            step[state] = total, (said, letters[1:]) if letters[1:] else said
             best = step
-        _, said = min(((bits + cost[p][q][0], said) for (p, q), (bits, said) in best.items()), key=lambda x: x[0])
+        _, said = min(((bits + cost[state * SYMBOLS], said) for state, (bits, said) in best.items()), key=lambda x: x[0])
         out = []
         while said is not None:
             said, letters = said
             out.append(letters)
         return "".join(reversed(out)).strip()
+
+
+_last: tuple[bytes, Restorer] | None = None
+
+
+def restorer(cost: np.ndarray) -> Restorer:
+    """The restorer of these costs; tasks that a Python worker runs one after another share it and the tokens it knows."""
+    global _last
+    name = cost.tobytes()
+    if _last is None or _last[0] != name:
+        _last = name, Restorer(cost)
+    return _last[1]

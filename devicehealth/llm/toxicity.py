@@ -66,18 +66,18 @@ def disguised(units: np.ndarray, letter: np.ndarray, offsets: np.ndarray, single
     behind = np.where(cut[at + 1], 0, np.append(symbol, 0)[at + 1])
     mark = leet | triple
     mark[at[single[before, symbol[at], behind]]] = True
-    # Separators between letters or signs of one word.
+    # Separators between letters or signs of one word: only places behind a gap are looked up.
     places = np.flatnonzero(wordy)
     gap = np.diff(places)
-    owner = np.searchsorted(offsets, places, "right")
-    word = np.searchsorted(word_start, places, "right")
-    parted = (gap > 1) & (word[1:] == word[:-1])
-    mark[places[1:][parted]] = True
+    apart = np.flatnonzero(gap > 1)
+    left, right = places[apart], places[apart + 1]
+    mark[right[np.searchsorted(word_start, left, "right") == np.searchsorted(word_start, right, "right")]] = True
     # Letters or signs each alone, with one to three other characters between two: at least three in a row.
-    near = (gap > 1) & (gap <= 4) & (owner[1:] == owner[:-1])
-    joined = (gap == 1) & (owner[1:] == owner[:-1])
+    joined = (gap == 1) & ~cut[places[1:]]
     alone = ~(np.append(False, joined) | np.append(joined, False)) if len(places) else np.zeros(0, bool)
-    linked = near & alone[1:] & alone[:-1] if len(places) else np.zeros(0, bool)
+    near = apart[(gap[apart] <= 4) & alone[apart] & alone[apart + 1]]
+    linked = np.zeros(len(gap), bool)
+    linked[near[np.searchsorted(offsets, places[near], "right") == np.searchsorted(offsets, places[near + 1], "right")]] = True
     edge = np.diff(np.concatenate([[0], linked.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = last - first >= 2
@@ -91,14 +91,18 @@ def disguised(units: np.ndarray, letter: np.ndarray, offsets: np.ndarray, single
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
-def _restored(restorer: noisy.Restorer, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str], list[str]]:
-    """``(token, word, whole)``: words that the tokens stand for and that are not written in them; ``whole`` is the token
-    itself if it is letters only."""
-    _, one, back = np.unique(arrays.spans_hash(units, starts, ends), return_index=True, return_inverse=True)
-    said = [restorer.hidden(units[a:b].astype("<u4").tobytes().decode("utf-32-le").strip(".,;:?\"'()[]{}*#%&<>~-_")) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-    some = np.flatnonzero(np.array([len(w) for w, _ in said], np.int64)[back]) if len(back) else back
-    got = [(i, w, said[k][1]) for i, k in zip(some.tolist(), back[some].tolist()) for w in said[k][0]]
-    return np.array([i for i, _, _ in got], np.int64), [w for _, w, _ in got], [x for _, _, x in got]
+def _restored(restorer: noisy.Restorer, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """``(token, which, words, wholes)``: the words ``words[which]`` that the tokens stand for and that are not written in them; ``wholes`` are the tokens
+    themselves if they are letters only. A word of equal tokens is listed once."""
+    keys, one, back = np.unique(arrays.spans_hash(units, starts, ends), return_index=True, return_inverse=True)
+    texts = lambda i: units[starts[i]:ends[i]].astype("<u4").tobytes().decode("utf-32-le").strip(".,;:?\"'()[]{}*#%&<>~-_")
+    said = [restorer.known(key, lambda: texts(i)) for key, i in zip(keys.tolist(), one.tolist())]
+    sizes = np.array([len(words) for words, _ in said], np.int64)
+    first = np.cumsum(sizes) - sizes
+    token = np.flatnonzero(sizes[back]) if len(back) else back
+    each = sizes[back[token]]
+    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return (np.repeat(token, each), np.repeat(first[back[token]], each) + place, [w for words, _ in said for w in words], [whole for words, whole in said for _ in words])
 
 
 def _word_keys(words: list[str]) -> list[np.ndarray]:
@@ -115,23 +119,27 @@ def features(splitter: pretoken.Splitter, restorer: noisy.Restorer, data: np.nda
     words = letter[pieces.starts] if len(pieces.starts) else np.zeros(0, bool)
     starts, ends, owner = pieces.starts[words], pieces.ends[words], number[words]
     n_words = np.bincount(owner, minlength=len(offsets) - 1)
-    groups = [(owner, _feature_keys(pieces.units, starts, ends))]
+    # Equal words are hashed and looked up once.
+    _, one, back = np.unique(pieces.keys[words], return_index=True, return_inverse=True)
+    units, at = arrays.spans(pieces.units, starts[one], ends[one])
+    groups = [(owner, back, _feature_keys(units, at[:-1], at[1:]))]
     hidden, hidden_starts, hidden_ends = disguised(pieces.units, letter, pieces.offsets, restorer.single)
-    token, restored, wholes = _restored(restorer, pieces.units, hidden_starts, hidden_ends)
+    token, which, restored, wholes = _restored(restorer, pieces.units, hidden_starts, hidden_ends)
     if restored:
         # A beginning that the word as it is written has too is there already.
         had = _word_keys(wholes)
-        groups.append((hidden[token], [np.where(key == old, _NONE, key) for key, old in zip(_word_keys(restored), had)]))
+        groups.append((hidden[token], which, [np.where(key == old, _NONE, key) for key, old in zip(_word_keys(restored), had)]))
     roots = None if wanted is None else np.unique(np.concatenate([wanted, *(wanted ^ s for s in _OFTEN_SALTS)]))
     texts, keys = [], []
-    for who, found in groups:
+    for who, which, found in groups:
         for level, key in enumerate(found):
             # A beginning that is the whole word is the word, which is there already.
             keep = (key != _NONE) & (True if not level else key != found[0])
             if roots is not None and len(roots):
                 keep &= roots[np.minimum(np.searchsorted(roots, key), len(roots) - 1)] == key
-            texts.append(who[keep])
-            keys.append(key[keep])
+            at = np.flatnonzero(keep[which])
+            texts.append(who[at])
+            keys.append(key[which[at]])
     texts, keys = np.concatenate(texts), np.concatenate(keys)
     order = np.lexsort((keys, texts))
     texts, keys = texts[order], keys[order]
@@ -182,7 +190,7 @@ def _counted(rows: DataFrame, cost, wanted=None) -> DataFrame:
     schema = "feature long, pos long, neg long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, restorer = _splitter(), noisy.Restorer(cost.value)
+        splitter, restorer = _splitter(), noisy.restorer(cost.value)
         keep = None if wanted is None else wanted.value
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -259,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     shortlist = spark.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, restorer = _splitter(), noisy.Restorer(cost.value)
+        splitter, restorer = _splitter(), noisy.restorer(cost.value)
         for batch in batches:
             for a, b, data, offsets in arrays.chunks(batch.column(0), CHUNK_BYTES):
                 texts, keys = features(splitter, restorer, data, offsets, shortlist.value)
@@ -297,7 +305,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        splitter, restorer = _splitter(), noisy.Restorer(model.cost)
+        splitter, restorer = _splitter(), noisy.restorer(model.cost)
         for batch in batches:
             for a, b, data, offsets in arrays.chunks(batch.column(at), CHUNK_BYTES):
                 score = np.full(b - a, model.rest)

@@ -109,3 +109,19 @@ def test_held_out_documents(spark):
     assert sum(r.predicted == 1 and truth[r.doc_id] == 0 for r in held) <= 0.02 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert arrays.CHUNK_BYTES
+
+
+def test_words_and_tokens_are_looked_at_once(monkeypatch):
+    cost = noisy.costs(noisy.trigrams(np.frombuffer(PLAIN.encode(), np.uint8)))
+    shared = noisy.restorer(cost)
+    assert noisy.restorer(cost.copy()) is shared and noisy.restorer(cost + 1.0) is not shared
+    decoded, hashed = [], []
+    plain, keys = noisy.Restorer.restore, toxicity._feature_keys
+    monkeypatch.setattr(noisy.Restorer, "restore", lambda self, token: decoded.append(token) or plain(self, token))
+    monkeypatch.setattr(toxicity, "_feature_keys", lambda units, starts, ends: hashed.append(len(starts)) or keys(units, starts, ends))
+    text = "an 1d10t and an 1d10t and an 1d10t " * 50
+    data = np.frombuffer((text * 2).encode(), np.uint8)
+    restorer = noisy.restorer(cost)
+    texts, found = toxicity.features(toxicity._splitter(), restorer, data, np.array([0, len(text), 2 * len(text)]))
+    assert decoded == ["1d10t"] and max(hashed) < 10
+    assert found[texts == 0].tolist() == found[texts == 1].tolist()
