@@ -23,6 +23,8 @@ WORDS = 5
 BANDS, ROWS = 30, 5
 #: Most candidate ids sent to all tasks that read the texts a second time (a few MB); beyond it the texts are joined.
 WANTED = 200_000
+#: Most pairs sent to all tasks that hold sets (a few MB); beyond it the sets are shuffled to them.
+PAIRS = 200_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +132,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with their ``shared`` shingles by the full sets, and whether they reach the similarity."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(
+    both = sets.withColumnsRenamed({"id": "a", "shingles": "sa"}).join(pairs, "a").join(
         sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("all"))
     return sized.select("a", "b", "shared", (F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("all") - F.col("shared"))).alias("ok"))
@@ -162,11 +164,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     placed = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut_lineage(placed.join(crowded, "bucket"))
+    del placed, crowded
+    let_go(docs.sparkSession)
     wanted = cut_lineage(members.groupBy("rep", "n").agg(F.sum(F.col("m") - 1).alias("met")))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(wanted.select(F.col("rep").alias("id")), WANTED), "id", "left_semi")
     sets = set_table(texts, width).join(wanted.select(F.col("rep").alias("id"), "n"), "id").where("size(shingles) = n").groupBy("id").agg(
         F.first("shingles").alias("shingles"))
     sets = cut_lineage(sets)
+    let_go(docs.sparkSession)
 
     def common_shingles(sets: DataFrame) -> DataFrame:
         """``(rep, common)``: how many shingles of a set occur in another set too."""
@@ -174,9 +179,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         return sets.join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "id", "left").select(
             F.col("id").alias("rep"), (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
 
-    let_go(docs.sparkSession)
     members = cut_lineage(members.join(common_shingles(sets), "rep").join(wanted.select("rep", "met"), "rep").withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
 
+    let_go(docs.sparkSession)
+
     def possible(n, common, n2, common2):
         top = F.least(common, common2)
         return F.lit(100) * top >= F.lit(percent) * (n + n2 - top)
@@ -196,7 +202,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     active = unsettled(members).withColumn("c", F.col("first.rep")).where("rep <> c")
     tried = active.where(possible(F.col("n"), F.col("common"), F.col("first.n"), F.col("first.common"))).select(*pair).distinct()
-    checked = cut_lineage(_compared(tried, sets, percent))
+    checked = cut_lineage(_compared(small(cut_lineage(tried), PAIRS), sets, percent))
+    let_go(docs.sparkSession)
     links = checked.where("ok").select("a", "b")
     labels = named(links)
     # What a member shares with any other lies in the first one if all its shingles but those that it alone has do (``inner``), and it is no smaller.

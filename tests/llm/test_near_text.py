@@ -6,6 +6,7 @@ from itertools import combinations
 import pyarrow.parquet as pq
 import pytest
 
+from devicehealth.llm import near_text
 from devicehealth.llm.near_text import near_duplicates, without_near_duplicates
 
 SCHEMA = "doc_id long, text string, bands string, n string"
@@ -67,3 +68,15 @@ def test_odd_rows(spark):
 
 def test_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_finished_shuffles_are_let_go_before_pairs_are_compared(spark, monkeypatch):
+    calls = []
+    compared, let_go = near_text._compared, near_text.let_go
+    monkeypatch.setattr(near_text, "let_go", lambda session: calls.append("go") or let_go(session))
+    monkeypatch.setattr(near_text, "_compared", lambda *a: calls.append("compare") or compared(*a))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "quite another text of a few words")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(docs, percent=85).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert calls.index("compare") >= 3
