@@ -40,11 +40,10 @@ def alert_stream(stream: DataFrame, out: str, checkpoint: str, columns: Sequence
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         limits = read_thresholds(batch.sparkSession, thresholds) if thresholds else None
-        readings, unfit = by_header(batch, columns)
+        refuse = None if rejects else f"lines of batch {batch_id} do not fit their header; name a folder for rejects"
+        readings, unfit = by_header(batch, columns, refuse=refuse)
         if rejects:
             unfit.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        elif not unfit.isEmpty():
-            raise ValueError(f"lines of batch {batch_id} do not fit their header; name a folder for rejects")
         problem_records(readings, limits, keep).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _per_batch(stream, write, checkpoint, once)

@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F, types as T
 
+from devicehealth.sources.headers import by_header, read_lines
 from devicehealth.sources.side_tables import read_thresholds, write_thresholds
 from devicehealth.streaming import alerts as sa
 from devicehealth.streaming.recent import messages_with_latest_alert
@@ -67,6 +69,26 @@ def test_files_are_read_by_their_own_header(spark, tmp_path):
     assert [r["line"] for r in spark.read.parquet(bad).collect()] == ["short,HP"]
 
 
+def test_a_line_that_does_not_fit_stops_the_stream(spark, tmp_path):
+    import os
+
+    folder, out, check = [str(tmp_path / n) for n in ("in", "out", "check")]
+    columns = ["auth_username", "model_name", "uptime_days"]
+    put_text(folder, "a.csv", "auth_username,model_name,uptime_days\na,HP,99\nshort,HP\n")
+    with pytest.raises(Exception, match="do not fit their header"):
+        sa.alert_stream(sa.arriving_files(spark, folder), out, check, columns).awaitTermination()
+    assert not [n for _, _, names in os.walk(out) for n in names if n.endswith(".parquet")]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Conditions on the cells stay above the parser, and looking at the headers again reads no lines."""
+    put_text(str(tmp_path / "in"), "a.csv", "a,b,c\n1,2,3\n4,5,6\n")
+    rows, _ = by_header(read_lines(spark, str(tmp_path / "in")), ["a", "b", "c"], refuse="unfit")
+    plan = rows.where("a > 0 and b > 0 and c > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv(") <= 2 and plan.count("FileScan text") == 1
+    assert sorted(map(tuple, rows.where("a > 1").collect())) == [("4", "5", "6")]
+
+
 def test_late_and_tied_messages_get_the_alert_of_their_time(spark, tmp_path):
     folder, out, check = [str(tmp_path / n) for n in ("in", "out", "check")]
 
