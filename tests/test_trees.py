@@ -65,3 +65,20 @@ def test_missing_values_raise(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (None, 2.0)], "a double, y double")
     with pytest.raises(Exception, match="missing"):
         trees.fit(RandomForestRegressor(labelCol="y", numTrees=2, maxDepth=2, seed=1), rows, ["a"])
+
+
+def test_nothing_to_split(spark):
+    """A label that never changes, and a feature that never does: one leaf; a tree may also be done before its last level."""
+    rows = spark.createDataFrame([(float(i % 2), 5.0, float(i % 2), 3.0) for i in range(40)], "a double, k double, y double, s double")
+    assert trees.fit(RandomForestRegressor(labelCol="s", numTrees=3, maxDepth=4, seed=1), rows, ["a"]).totalNumNodes == 3
+    assert trees.fit(RandomForestRegressor(labelCol="y", numTrees=3, maxDepth=4, seed=1), rows, ["k"]).totalNumNodes == 3
+    model = trees.fit(RandomForestRegressor(labelCol="y", numTrees=3, maxDepth=4, seed=1, featureSubsetStrategy="all"), rows, ["a", "k"])
+    assert model.totalNumNodes == 9 and model.predict(_vector(1.0, 5.0)) == 1.0
+    boosted = trees.fit(GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=1), rows, ["a"])
+    assert boosted.predict(_vector(0.0)) == 0.0 and boosted.predict(_vector(1.0)) == 1.0
+
+
+def _vector(*values):
+    from pyspark.ml.linalg import Vectors
+
+    return Vectors.dense(*values)
